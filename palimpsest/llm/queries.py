@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import byte_bpe, gif_media, langid, quality, toxicity
+from palimpsest.llm import byte_bpe, gif_media, jaccard_join, langid, quality, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -46,3 +46,35 @@ def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif_media.digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op1_jaccard_forest"] = r"""
+WITH RECURSIVE
+words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_sort(list_distinct(CASE
+    WHEN len(w) = 0 THEN CAST([] AS VARCHAR[])
+    WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g
+  FROM words),
+nodes AS (SELECT g, min(doc_id) AS rep, count(*) AS weight, len(g) AS n FROM sets WHERE len(g) > 0 GROUP BY g),
+shingles AS (SELECT rep, n, weight, unnest(g) AS s FROM nodes),
+pairs AS (
+  SELECT a.rep AS a, b.rep AS b, a.weight AS wa, b.weight AS wb
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.rep < b.rep
+  GROUP BY a.rep, a.n, a.weight, b.rep, b.n, b.weight
+  HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9),
+links AS (SELECT a, b, wb AS w FROM pairs UNION ALL SELECT b, a, wa FROM pairs),
+reach AS (SELECT rep AS a, rep AS b FROM nodes UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+classes AS (SELECT a AS rep, min(b) AS class_id FROM reach GROUP BY a),
+counts AS (SELECT a AS rep, count(*) AS texts, sum(w) AS docs FROM links GROUP BY a)
+SELECT s.doc_id, coalesce(c.class_id, s.doc_id) AS class_id,
+  CAST(coalesce(k.docs, 0) + coalesce(n.weight, 1) - 1 AS BIGINT) AS n_links,
+  CAST(coalesce(k.texts, 0) AS BIGINT) AS n_text_links
+FROM sets s LEFT JOIN nodes n ON s.g = n.g LEFT JOIN classes c ON n.rep = c.rep LEFT JOIN counts k ON n.rep = k.rep
+"""
