@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import byte_bpe, gif_media, jaccard_join, langid, quality, toxicity
+from palimpsest.llm import byte_bpe, gif_media, jaccard_join, langid, quality, sharding, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,44 @@ SELECT s.doc_id, coalesce(c.class_id, s.doc_id) AS class_id,
   CAST(coalesce(k.texts, 0) AS BIGINT) AS n_text_links
 FROM sets s LEFT JOIN nodes n ON s.g = n.g LEFT JOIN classes c ON n.rep = c.rep LEFT JOIN counts k ON n.rep = k.rep
 """
+
+
+@query
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+ORACLES["op2_warc_revisits"] = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+o AS (SELECT payload_digest, max(page_id) AS original FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest,
+  CASE WHEN original <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN original <> page_id THEN original END AS refers_to
+FROM p LEFT JOIN o ON p.payload_digest = o.payload_digest
+"""
+
+
+@query
+def op4_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op4_lpt_shards"] = """
+WITH RECURSIVE
+polynomial AS (SELECT list(v ORDER BY i) AS t FROM (
+  SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(i AS BIGINT)) AS v FROM range(256) r(i))),
+d AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sized AS (SELECT doc_id, CAST(len(h) // 2 + 1 AS BIGINT) AS size, sha256(text) AS key,
+  xor(list_reduce(list_transform(regexp_extract_all(h, '..'), lambda p: CAST('0x' || p AS BIGINT)),
+    lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INT) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS text_crc32
+  FROM d, polynomial),
+g AS (SELECT key, sum(size) AS bytes, row_number() OVER (ORDER BY sum(size) DESC, key) AS rn FROM sized GROUP BY key),
+heap AS (
+  SELECT CAST(0 AS BIGINT) AS rn, list_transform(range(16), lambda i: CAST(0 AS HUGEINT)) AS loads, 0 AS shard
+  UNION ALL
+  SELECT g.rn, list_transform(loads, lambda x, i: x + CASE WHEN i = p THEN bytes ELSE 0 END), p - 1
+  FROM (SELECT rn, loads, list_position(loads, list_min(loads)) AS p FROM heap) h JOIN g ON g.rn = h.rn + 1)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, CAST(shard AS INT) AS shard,
+  CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id % 256, doc_id) - 1 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard
+FROM sized JOIN g USING (key) JOIN heap USING (rn)
+"""
