@@ -8,7 +8,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import byte_bpe, quality, toxicity
+from palimpsest.llm import byte_bpe, decontamination, jaccard_join, quality, toxicity
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,16 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, labels(spark, sf_dir))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by 5-word shingles at a similarity of 0.8, the one of least doc_id."""
+    return jaccard_join.keep_one(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with no benchmark item."""
+    return decontamination.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and their byte offsets of each remaining document."""
     return byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -33,6 +43,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("quality", drop_poor),
+    ("jaccard_join", drop_near_copies),
+    ("decontamination", drop_leaks),
     ("byte_bpe", encode),
 ]
 

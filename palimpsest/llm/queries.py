@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import byte_bpe, gif_media, jaccard_join, langid, quality, sharding, toxicity, warc
+from palimpsest.llm import byte_bpe, decontamination, gif_media, jaccard_join, langid, quality, sharding, tool_calls, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -119,3 +119,65 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, CAST(shard AS INT) AS shard,
   CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id % 256, doc_id) - 1 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard
 FROM sized JOIN g USING (key) JOIN heap USING (rn)
 """
+
+
+@query
+def op8_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op8_spaced_seeds"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS t FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS b FROM benchmark),
+dp AS (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM d),
+bp AS (SELECT item_id, b, unnest(range(1, len(b) + 1)) AS p FROM b WHERE len(b) >= 11),
+ds AS (
+  SELECT doc_id, i, 0 AS m, concat_ws(' ', t[i], t[i + 2], t[i + 3], t[i + 6], t[i + 7], t[i + 8]) AS k FROM dp WHERE i + 8 <= len(t)
+  UNION ALL SELECT doc_id, i, 1, concat_ws(' ', t[i], t[i + 1], t[i + 2], t[i + 7], t[i + 9], t[i + 10]) FROM dp WHERE i + 10 <= len(t)
+  UNION ALL SELECT doc_id, i, 10 + n, array_to_string(t[i:i + n - 1], ' ') FROM dp, (SELECT DISTINCT len(b) AS n FROM b WHERE len(b) BETWEEN 5 AND 10) WHERE i + n - 1 <= len(t)),
+bs AS (
+  SELECT item_id, p, 0 AS m, concat_ws(' ', b[p], b[p + 2], b[p + 3], b[p + 6], b[p + 7], b[p + 8]) AS k FROM bp WHERE p + 8 <= len(b)
+  UNION ALL SELECT item_id, p, 1, concat_ws(' ', b[p], b[p + 1], b[p + 2], b[p + 7], b[p + 9], b[p + 10]) FROM bp WHERE p + 10 <= len(b)
+  UNION ALL SELECT item_id, 1, 10 + len(b), array_to_string(b, ' ') FROM b WHERE len(b) BETWEEN 5 AND 10),
+hits AS (SELECT DISTINCT doc_id, item_id, i - p AS diagonal, p FROM ds JOIN bs USING (m, k)),
+w AS (
+  SELECT h.doc_id, h.item_id, diagonal, t, b, least(len(b), 16) AS n, unnest(range(greatest(1, p - 5 + CASE WHEN len(b) < 16 THEN -20 ELSE 0 END), least(p, len(b) - least(len(b), 16) + 1) + 1)) AS s
+  FROM hits h JOIN d USING (doc_id) JOIN b USING (item_id)),
+c AS (
+  SELECT doc_id, item_id, n, diagonal + s - 1 AS start,
+    list_sum(list_transform(range(0, n), lambda k: CASE WHEN t[diagonal + s + k] = b[s + k] THEN 1 ELSE 0 END)) AS matches
+  FROM w WHERE diagonal + s >= 1 AND diagonal + s + n - 1 <= len(t)),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matches DESC, start, n DESC) AS rn FROM c
+  WHERE matches >= CASE WHEN n < 11 THEN n WHEN n = 16 THEN 13 ELSE ceil(n * 0.8) END)
+SELECT doc_id, item_id, CAST(matches AS INT) AS matches, CAST(n AS INT) AS "window", CAST(start AS INT) AS start FROM r WHERE rn = 1
+"""
+
+
+@query
+def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.of_conversations(table(spark, sf_dir, "conversations"))
+    return tool_calls.link(calls, results, tool_calls.SCHEMAS)
+
+
+ORACLES["op6_tool_calls"] = """
+WITH c AS (
+  SELECT conv_id, turn, conv_id || ':' || turn AS call_id, CASE WHEN turn < 2 THEN 'ask' ELSE 'follow_up' END AS name, text,
+    CASE WHEN turn >= 2 THEN conv_id || ':' || (turn - 2) END AS after,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position
+  FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL),
+r AS (
+  SELECT conv_id, conv_id || ':' || (turn - 1) AS call_id, count(*) AS n, min(turn) AS result_turn, arg_min(text, turn) AS content
+  FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL)
+SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, turn, coalesce(c.call_id, r.call_id) AS call_id,
+  CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+  name, CAST(position AS BIGINT) AS position, CAST(coalesce(n, 0) AS BIGINT) AS n_results, result_turn,
+  CASE WHEN c.call_id IS NULL THEN NULL WHEN text IS NULL THEN 'text: missing' WHEN length(text) < 40 THEN 'text: too short'
+    WHEN name = 'follow_up' AND length(text) > 2000 THEN 'text: too long' ELSE '' END AS errors,
+  '{' || CASE WHEN c.call_id IS NULL THEN '' ELSE '"arguments":{' || CASE WHEN after IS NULL THEN '' ELSE '"after":' || to_json(after) || ',' END
+      || CASE WHEN text IS NULL THEN '' ELSE '"text":' || to_json(text) || ',' END || '"turn":' || turn || '},' END
+    || '"id":' || to_json(coalesce(c.call_id, r.call_id))
+    || CASE WHEN name IS NULL THEN '' ELSE ',"name":' || to_json(name) END
+    || CASE WHEN content IS NULL THEN '' ELSE ',"result":' || to_json(content) END || '}' AS exchange
+FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
+"""
