@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -106,7 +107,7 @@ def stored_chunks(volumes: Volumes) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 rows = []
-                for i, (offset, length) in enumerate(INDEX.iter_unpack(r["index"])):
+                for i, (offset, length) in enumerate(struct.iter_unpack(INDEX, r["index"])):
                     data = r["payload"][offset : offset + length]
                     plain = data if length == r["chunk_size"] or r["codec"] == "stored" else chunks.decompress_bytes(data, r["codec"], r["chunk_size"])
                     chunk = r["bevy_id"] * r["per_bevy"] + i
@@ -136,7 +137,7 @@ def ingest(files: DataFrame, path: str, base: str, codec: str = "zlib", chunk_si
             if raw and image_codec != "stored" and length != chunk_size:  # a short raw chunk would be taken for a compressed one
                 stored = chunks.compress_bytes(stored, image_codec)
             data.append(stored)
-            index.append(INDEX.pack(at, len(stored)))
+            index.append(struct.pack(INDEX, at, len(stored)))
             at += len(stored)
         urn, bevy = key[0].as_py(), key[1].as_py()
         return pa.table([pa.array([f"{urn}/{bevy:08d}", f"{urn}/{bevy:08d}.index"]), pa.array([b"".join(data), b"".join(index)], pa.binary())], ["urn", "payload"])

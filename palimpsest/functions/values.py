@@ -41,30 +41,38 @@ def to_hex(data) -> Column:
     return F.hex(col(data))
 
 
-#: Datatype to (name in ``dt``, canonical lexical form of a parsed literal or null). This is where new types are added.
-REGISTRY = {
-    f"{XSD}string": ("string", lambda t: col(t)),
-    f"{XSD}hexBinary": ("hexBinary", lambda t: F.hex(parse_hex(t))),
-    f"{XSD}integer": ("integer", lambda t: parse_integer(t).cast("string")),
-    f"{XSD}int": ("integer", lambda t: parse_integer(t).cast("string")),
-    f"{XSD}long": ("integer", lambda t: parse_integer(t).cast("string")),
-    f"{XSD}boolean": ("boolean", lambda t: parse_boolean(t).cast("string")),
-    f"{NS}MD5": ("md5", lambda t: col(t)),
-    f"{NS}SHA1": ("sha1", lambda t: col(t)),
-    f"{NS}SHA256": ("sha256", lambda t: col(t)),
-    f"{NS}SHA512": ("sha512", lambda t: col(t)),
-    f"{NS}blake2b": ("blake2b", lambda t: col(t)),
+#: Parsers of lexical forms: a literal's canonical form, or null. With DATATYPES, this is where new types are added.
+PARSERS = {
+    "text": lambda t: col(t),
+    "hexadecimal": lambda t: F.when(col(t).rlike("^([0-9A-F]{2})*$"), col(t)),
+    "integer": lambda t: parse_integer(t).cast("string"),
+    "boolean": lambda t: parse_boolean(t).cast("string"),
 }
-DATATYPE_URNS = {name: urn for urn, (name, _) in reversed(REGISTRY.items())} | {"integer": f"{XSD}integer"}
+#: Datatype to (name in ``dt``, parser).
+DATATYPES = {
+    f"{XSD}string": ("string", "text"),
+    f"{XSD}hexBinary": ("hexBinary", "hexadecimal"),
+    f"{XSD}integer": ("integer", "integer"),
+    f"{XSD}int": ("integer", "integer"),
+    f"{XSD}long": ("integer", "integer"),
+    f"{XSD}boolean": ("boolean", "boolean"),
+    f"{NS}MD5": ("md5", "text"),
+    f"{NS}SHA1": ("sha1", "text"),
+    f"{NS}SHA256": ("sha256", "text"),
+    f"{NS}SHA512": ("sha512", "text"),
+    f"{NS}blake2b": ("blake2b", "text"),
+}
+#: Name in ``dt`` to the datatype that is written.
+DATATYPE_URNS = {name: urn for urn, (name, _) in reversed(DATATYPES.items())}
 
 
 def parse_literal(lexical, datatype) -> tuple[Column, Column]:
-    """(value, dt) of a literal by its datatype URI (null: a plain string); both null for unknown types and bad literals."""
+    """(value, dt) of a literal by its datatype URI (null: a plain string); the value is null for unknown types and bad literals."""
     dt = F.coalesce(col(datatype), F.lit(f"{XSD}string"))
-    value, name = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for urn, (short, parse) in REGISTRY.items():
-        value, name = F.when(dt == urn, parse(lexical)).otherwise(value), F.when(dt == urn, short).otherwise(name)
-    return value, F.when(value.isNotNull(), name)
+    value = F.lit(None).cast("string")
+    for parser, parse in PARSERS.items():
+        value = F.when(dt.isin([urn for urn, (_, p) in DATATYPES.items() if p == parser]), parse(lexical)).otherwise(value)
+    return value, lookup(dt, {urn: name for urn, (name, _) in DATATYPES.items()})
 
 
 def lookup(key, table: dict, default=None) -> Column:

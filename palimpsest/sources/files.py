@@ -12,9 +12,9 @@ from palimpsest.functions.urns import append, escape_component
 from palimpsest.functions.values import little_endian
 from palimpsest.sources.zip_volume import file_system
 
-RANGE = struct.Struct("<QQQI")  # map_offset, length, target_offset, target_id
-INDEX = struct.Struct("<QI")  # offset, length
-ELF_HEADER, ELF_SEGMENT = struct.Struct("<16sHHIQQQIHHHHHH"), struct.Struct("<IIQQQQQQ")
+RANGE = "<QQQI"  # map_offset, length, target_offset, target_id
+INDEX = "<QI"  # offset, length
+ELF_HEADER, ELF_SEGMENT = "<16sHHIQQQIHHHHHH", "<IIQQQQQQ"
 
 
 def read_directory(spark: SparkSession, path: str, volume: str | None = None) -> DataFrame:
@@ -57,9 +57,9 @@ def delete_directory(path: str) -> None:
 def decode_map(maps: DataFrame) -> DataFrame:
     """Ranges of (map_urn, map, idx): packed records of 28 bytes, and one target a line (CRLF allowed)."""
     targets = F.split(F.regexp_replace(F.col("idx").cast("string"), r"\r?\n$", ""), r"\r?\n")
-    n = F.expr(f"length(map) DIV {RANGE.size}")
+    n = F.expr(f"length(map) DIV {struct.calcsize(RANGE)}")
     rows = maps.where(n > 0).select("map_urn", "map", targets.alias("targets"), F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("i"))
-    at = F.col("i") * RANGE.size
+    at = F.col("i") * struct.calcsize(RANGE)
     read = lambda offset, size: little_endian("map", at + offset, size)
     out = rows.select("map_urn", read(0, 8).alias("map_offset"), read(8, 8).alias("length"), read(16, 8).alias("target_offset"), read(24, 4).cast("int").alias("target_id"), "targets", F.col("i").cast("bigint").alias("seq"))
     return out.withColumn("target", F.get("targets", F.col("target_id"))).drop("targets")
@@ -72,7 +72,7 @@ def encode_map(ranges: DataFrame) -> DataFrame:
         rows = sorted(table.to_pylist(), key=lambda r: r["map_offset"])
         names = {r["target_id"]: r["target"] for r in rows}
         idx = "\n".join(names.get(i, "") for i in range(max(names) + 1)).encode()
-        packed = b"".join(RANGE.pack(r["map_offset"], r["length"], r["target_offset"], r["target_id"]) for r in rows)
+        packed = b"".join(struct.pack(RANGE, r["map_offset"], r["length"], r["target_offset"], r["target_id"]) for r in rows)
         return pa.table([pa.array([rows[0]["map_urn"]]), pa.array([packed], pa.binary()), pa.array([idx], pa.binary())], ["map_urn", "map", "idx"])
 
     return ranges.groupBy("map_urn").applyInArrow(run, "map_urn string, map binary, idx binary")
@@ -80,27 +80,27 @@ def encode_map(ranges: DataFrame) -> DataFrame:
 
 def decode_index(indexes: DataFrame) -> DataFrame:
     """(urn, bevy_id, chunk_in_bevy, offset, length) of (urn, bevy_id, index): packed records of 12 bytes."""
-    n = F.expr(f"length(index) DIV {INDEX.size}")
+    n = F.expr(f"length(index) DIV {struct.calcsize(INDEX)}")
     rows = indexes.where(n > 0).select("urn", "bevy_id", "index", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("chunk_in_bevy"))
-    at = F.col("chunk_in_bevy") * INDEX.size
+    at = F.col("chunk_in_bevy") * struct.calcsize(INDEX)
     return rows.select("urn", "bevy_id", "chunk_in_bevy", little_endian("index", at, 8).alias("offset"), little_endian("index", at + 8, 4).alias("length"))
 
 
 def elf_core_header(layout: list[tuple[int, int, int]]) -> bytes:
     """Header and program headers of a core file of (vaddr, size, file_offset) segments."""
     ident = b"\x7fELF\x02\x01\x01".ljust(16, b"\0")
-    head = ELF_HEADER.pack(ident, 4, 62, 1, 0, ELF_HEADER.size, 0, 0, ELF_HEADER.size, ELF_SEGMENT.size, len(layout), 0, 0, 0)
-    return head + b"".join(ELF_SEGMENT.pack(1, 4, offset, vaddr, vaddr, size, size, 0) for vaddr, size, offset in layout)
+    head = struct.pack(ELF_HEADER, ident, 4, 62, 1, 0, struct.calcsize(ELF_HEADER), 0, 0, struct.calcsize(ELF_HEADER), struct.calcsize(ELF_SEGMENT), len(layout), 0, 0, 0)
+    return head + b"".join(struct.pack(ELF_SEGMENT, 1, 4, offset, vaddr, vaddr, size, size, 0) for vaddr, size, offset in layout)
 
 
 def parse_elf_core(data: bytes) -> list[dict[str, int]]:
     """Loadable segments of a 64-bit x86 core file whose sizes in memory and file agree, by address."""
-    ident, kind, machine, version, _, phoff, _, _, _, entry, n, *_ = ELF_HEADER.unpack_from(data)
-    if ident[:7] != b"\x7fELF\x02\x01\x01" or kind != 4 or machine != 62 or version != 1 or entry != ELF_SEGMENT.size:
+    ident, kind, machine, version, _, phoff, _, _, _, entry, n, *_ = struct.unpack_from(ELF_HEADER, data)
+    if ident[:7] != b"\x7fELF\x02\x01\x01" or kind != 4 or machine != 62 or version != 1 or entry != struct.calcsize(ELF_SEGMENT):
         raise ValueError("not a 64-bit x86 core file")
     out = []
     for i in range(n):
-        p_type, _, off, vaddr, paddr, filesz, memsz, _ = ELF_SEGMENT.unpack_from(data, phoff + i * entry)
+        p_type, _, off, vaddr, paddr, filesz, memsz, _ = struct.unpack_from(ELF_SEGMENT, data, phoff + i * entry)
         if p_type == 1 and memsz == filesz:
             out.append({"vaddr": vaddr, "paddr": paddr, "off": off, "memsz": memsz, "filesz": filesz})
     return sorted(out, key=lambda s: s["vaddr"])
