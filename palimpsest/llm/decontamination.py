@@ -18,7 +18,9 @@ SPAN = 11
 WINDOW, MATCHES, SHARE = 16, 13, 0.8
 #: Items of fewer tokens are no evidence. Items of fewer tokens than SPAN are looked for without substitutions.
 LEAST_TOKENS = 5
-#: Most benchmark seeds that are broadcast (12 MB as rows of 48 bytes); beyond it, seeds are joined by a shuffle.
+#: Positions of a block of tokens.
+STEP = 16
+#: Most benchmark seeds that are broadcast (rows of 48 bytes: 12 MB); beyond it, seeds are joined by a shuffle.
 BROADCAST_SEEDS = 250_000
 
 
@@ -28,21 +30,26 @@ def tokens(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seed(t: Column, at: Column, number: int, mask: tuple[int, ...]) -> Column:
-    """Hash of the mask's tokens at a position (the caller keeps the mask inside the tokens)."""
-    return F.xxhash64(F.lit(number), *[F.get(t, at + o) for o in mask])
+def seed(t: Column, at: Column | int, number: int, mask: tuple[int, ...]) -> Column:
+    """Hash of the mask's tokens at a position; null where the mask reaches beyond the tokens."""
+    read = [F.get(t, (F.lit(at) if isinstance(at, int) else at) + o) for o in mask]
+    return F.when(read[-1].isNotNull(), F.xxhash64(F.lit(number), *read))
 
 
 def seeds(df: DataFrame, masks: list[tuple[int, ...]], t: str, at: str) -> DataFrame:
-    """``df`` with a row for each position and mask that fits: adds ``at`` and ``key``."""
-    n, k = F.size(t), len(masks)
-    least = min(m[-1] for m in masks) + 1
-    rows = df.where(n >= least).withColumn("j", F.explode(F.sequence(F.lit(0), (n - least + 1) * k - 1)))
-    rows = rows.withColumn(at, F.expr(f"CAST(j DIV {k} AS INT)"))
-    which, key = F.col("j") % k, F.lit(None).cast("bigint")
-    for i, m in enumerate(masks):
-        key = F.when((which == i) & (F.col(at) + m[-1] < n), seed(F.col(t), F.col(at), i, m)).otherwise(key)
-    return rows.withColumn("key", key).where("key IS NOT NULL").drop("j")
+    """``df`` without ``t``, with a row for each position and mask that fits: adds ``at`` and ``key``.
+
+    Tokens are cut into blocks of STEP positions with the tokens that their masks reach beyond them. A row carries one
+    block at most, so that a long text costs no more a token than a short one; the hashes of a block are one generated expression.
+    """
+    reach, k = max(m[-1] for m in masks), len(masks)
+    starts = F.sequence(F.lit(0), F.size(t) - 1, F.lit(STEP))
+    cut = df.where(F.size(t) > 0).withColumn("blocks", F.transform(starts, lambda i: F.slice(t, i + 1, STEP + reach))).drop(t)
+    block = cut.select(*[c for c in cut.columns if c != "blocks"], F.posexplode("blocks").alias("block", "cut"))
+    keys = F.array(*[seed(F.col("cut"), i, n, m) for i in range(STEP) for n, m in enumerate(masks)])
+    rows = block.withColumn("keys", keys).drop("cut")
+    rows = rows.select(*[c for c in rows.columns if c != "keys"], F.posexplode("keys").alias("j", "key")).where("key IS NOT NULL")
+    return rows.withColumn(at, F.expr(f"block * {STEP} + CAST(j DIV {k} AS INT)")).drop("block", "j")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -52,33 +59,41 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Null texts and texts without words overlap with nothing. Repeated rows of documents or items give one row for each
     pair of identifiers. Null identifiers are kept as they are. Empty tables give no rows; further columns are not read.
     """
-    items = benchmark.select("item_id", tokens(F.col("text")).alias("b")).where(F.size("b") >= LEAST_TOKENS)
+    items = benchmark.select("item_id", tokens(F.col("text")).alias("b")).where(F.size("b") >= LEAST_TOKENS).distinct()
     lengths = sorted(r[0] for r in items.where(F.size("b") < SPAN).select(F.size("b")).distinct().collect())
     masks = [*MASKS, *(tuple(range(n)) for n in lengths)]
+    low = F.when(F.size("b") < WINDOW, 0).otherwise(F.greatest(F.lit(0), F.col("pos") + SPAN - WINDOW))
     whole = items.where(F.size("b") >= SPAN)
-    wanted = seeds(whole, list(MASKS), "b", "pos").select("key", "item_id", "pos", "b")
+    wanted = seeds(whole.withColumn("t", F.col("b")), list(MASKS), "t", "pos").select("key", "item_id", "pos", low.alias("low"))
     for i, n in enumerate(lengths, len(MASKS)):
-        own = items.where(F.size("b") == n).select(seed(F.col("b"), F.lit(0), i, masks[i]).alias("key"), "item_id", F.lit(0).alias("pos"), "b")
-        wanted = wanted.union(own)
-    low = F.when(F.size("b") < WINDOW, 0).otherwise(F.greatest(F.lit(0), F.col("pos") + SPAN - WINDOW))
-    wanted = wanted.select("key", "item_id", "pos", F.slice("b", low + 1, 2 * WINDOW).alias("near"), low.alias("low"), F.least(F.size("b"), F.lit(WINDOW)).alias("window"))
-    needed = F.when(F.col("window") < SPAN, F.col("window")).when(F.col("window") == WINDOW, MATCHES).otherwise(F.ceil(F.col("window") * SHARE)).cast("int")
-    wanted = wanted.withColumn("needed", needed).distinct()
-    if wanted.count() <= BROADCAST_SEEDS:
-        wanted = F.broadcast(wanted)
+        wanted = wanted.union(items.where(F.size("b") == n).select(seed(F.col("b"), 0, i, masks[i]).alias("key"), "item_id", F.lit(0).alias("pos"), F.lit(0).alias("low")))
+    wanted = wanted.distinct()
+    window = F.least(F.size("b"), F.lit(WINDOW))
+    needed = F.when(window < SPAN, window).when(window == WINDOW, MATCHES).otherwise(F.ceil(window * SHARE)).cast("int")
+    known = items.select(F.col("item_id").alias("known_id"), "b", window.alias("window"), needed.alias("needed"))
+    if wanted.count() <= BROADCAST_SEEDS:  # then there are no more items than seeds either
+        wanted, known = F.broadcast(wanted), F.broadcast(known)
     found = seeds(docs.select("doc_id", tokens(F.col("text")).alias("t")), masks, "t", "i")
-    hits = found.join(wanted, "key")
-    # Agreement with the item from its token ``low`` on, then all windows that hold the seed's first token and lie in both.
-    base = F.col("i") - F.col("pos") + F.col("low")
-    agree = F.transform("near", lambda x, k: F.coalesce((F.get("t", base + k) == x).cast("int"), F.lit(0)))
-    hits = hits.select("doc_id", "item_id", "window", "needed", base.alias("base"), (F.col("pos") - F.col("low")).alias("own"), agree.alias("agree"), F.size("t").alias("n"))
-    last = F.least(F.col("own"), F.size("agree") - F.col("window"))
+    hits = found.join(wanted, "key").select("doc_id", F.struct("item_id", "i", "pos", "low").alias("hit"))
+    hits = hits.groupBy(F.col("doc_id").alias("hit_id")).agg(F.collect_set("hit").alias("hits"))
+    near = docs.select("doc_id", "text").join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id"))).select("doc_id", "hits", tokens(F.col("text")).alias("t"))
+    # The document's tokens beside the item's tokens from ``low`` on; ``skip``: how many of these lie before the document.
+    base = lambda h: h["i"] - h["pos"] + h["low"]
+    parts = F.transform(
+        "hits",
+        lambda h: F.struct(h["item_id"].alias("item_id"), (h["pos"] - h["low"]).alias("own"), h["low"].alias("low"), base(h).alias("base"), F.slice("t", F.greatest(base(h), F.lit(0)) + 1, 2 * WINDOW - F.greatest(-base(h), F.lit(0))).alias("part")),
+    )
+    rows = near.select("doc_id", F.explode(parts).alias("p")).select("doc_id", "p.*").join(known, F.col("item_id").eqNullSafe(F.col("known_id")))
+    skip = F.greatest(-F.col("base"), F.lit(0))
+    agree = F.transform(F.slice("b", F.col("low") + 1, 2 * WINDOW), lambda x, k: F.coalesce((F.get("part", k - skip) == x).cast("int"), F.lit(0)))
+    rows = rows.select("doc_id", "item_id", "window", "needed", "base", "own", agree.alias("agree"), (F.size("part") + skip).alias("stop"))
+    last = F.least("own", F.size("agree") - F.col("window"))
     windows = F.transform(
         F.sequence(F.lit(0), last),
-        lambda s: F.struct(F.aggregate(F.slice("agree", s + 1, F.col("window")), F.lit(0), lambda a, x: a + x).alias("matches"), (-(F.col("base") + s)).alias("back")),
+        lambda s: F.struct(F.aggregate(F.slice("agree", s + 1, F.col("window")), F.lit(0), lambda a, x: a + x).alias("matches"), (-(F.col("base") + s)).alias("back"), (s + F.col("window")).alias("reach")),
     )
-    inside = F.filter(windows, lambda w: (w["matches"] >= F.col("needed")) & (w["back"] <= 0) & (F.col("window") - w["back"] <= F.col("n")))
-    best = hits.where(last >= 0).select("doc_id", "item_id", "window", F.array_max(inside).alias("best")).where("best IS NOT NULL")
+    inside = F.filter(windows, lambda w: (w["matches"] >= F.col("needed")) & (w["back"] <= 0) & (w["reach"] <= F.col("stop")))
+    best = rows.where(last >= 0).select("doc_id", "item_id", "window", F.array_max(inside).alias("best")).where("best IS NOT NULL")
     pairs = best.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("best.matches"), F.col("best.back"), F.col("window"))).alias("m"))
     return pairs.select("doc_id", "item_id", F.col("m.matches").alias("matches"), F.col("m.window").alias("window"), (-F.col("m.back")).alias("start"))
 
