@@ -56,7 +56,7 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     before = F.sum("n").over(Window.partitionBy("kind").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     ranked = groups.withColumn("r", F.row_number().over(Window.partitionBy("kind", "salt").orderBy("key"))).join(counted.select("kind", "salt", F.coalesce(before, F.lit(0)).alias("before")), ["kind", "salt"])
     rank = F.col("before") + F.col("r") - 1
-    placed = ranked.withColumn("rank", rank).join(runs, "kind").where("rank >= start AND rank < start + length").select("key", F.expr("turn[CAST((rank - start) % size(turn) AS INT)]").alias("shard"))
+    placed = ranked.withColumn("rank", rank).join(runs, "kind").where("rank >= start AND rank < start + length").select("key", F.expr("get(turn, CAST((rank - start) % size(turn) AS INT))").alias("shard"))
     return with_slots(rows.join(placed, "key")).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
