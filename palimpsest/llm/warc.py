@@ -8,6 +8,7 @@ framed by their Content-Length.
 
 from __future__ import annotations
 
+import gzip
 import tempfile
 import uuid
 
@@ -75,10 +76,10 @@ def records(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", least: int = L
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    """Deduplicated archives, with fresh headers, as the files of a folder."""
+    """Deduplicated archives, with fresh headers, as the gzipped files of a folder (one gzip stream a file)."""
     longest = pages.agg(F.coalesce(F.max(F.octet_length("html")), F.lit(0))).first()[0]
     per_file = max(1, min(FILE_RECORDS, FILE_BYTES // max(longest, 1)))
-    records(pages).write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
+    records(pages).write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
 
 def parse(content: bytes):
@@ -105,7 +106,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 held, size = [], 0
-                for f, block in parse(content.as_py()):
+                data = content.as_py()
+                for f, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     revisit = f["warc-type"] == "revisit"
                     payload = None if revisit else block.partition(b"\r\n\r\n")[2]
                     page = f.get("x-page-id")
