@@ -13,7 +13,7 @@ from palimpsest.functions.urns import domain, escape_component, glob_match, memb
 from palimpsest.operators import chunks, triples
 from palimpsest.operators.volumes import resolve
 from palimpsest.sources import turtle, zip_volume
-from palimpsest.vocabulary import COMPRESSION, IMAGE, INFORMATION_TURTLE, MAP, ORIGINAL_FILENAME, STORED, TYPE
+from palimpsest.vocabulary import COMPRESSION, IMAGE, INFORMATION_TURTLE, MAP, ORIGINAL_FILENAME, STORED, TYPE, ZIP_SEGMENT
 
 
 @dataclass
@@ -76,7 +76,8 @@ def load_volumes(spark: SparkSession, path: str) -> Volumes:
     texts = segments.where(F.col("member") == INFORMATION_TURTLE).select("volume", F.col("payload").cast("string").alias("value"))
     meta = triples.standard_names(turtle.of_texts(texts)).where(F.col("p") != STORED)
     stored = catalog.select("volume", F.col("urn").alias("s"), F.lit(STORED).alias("p"), F.col("volume").alias("o"), F.lit("urn").alias("dt"), F.lit(0).cast("bigint").alias("seq"))
-    return Volumes(segments, meta.unionByName(stored))
+    kinds = stored.withColumn("p", F.lit(TYPE)).withColumn("o", F.lit(ZIP_SEGMENT)).withColumn("seq", F.lit(1 << 40))  # after the types that metadata give
+    return Volumes(segments, meta.unionByName(stored).unionByName(kinds))
 
 
 def open_image(spark: SparkSession, path: str) -> tuple[Volumes, str | None]:
@@ -119,12 +120,15 @@ def stored_chunks(volumes: Volumes) -> DataFrame:
 
 
 def ingest(files: DataFrame, path: str, base: str, codec: str = "zlib", chunk_size: int = 32 * 1024, per_bevy: int = 1024, threshold: int = 10 << 20, volumes: int | None = None) -> DataFrame:
-    """Writes (name, data) files into zip volumes of a folder, small ones as segments, others as chunked streams; returns the triples."""
+    """Writes (name, data) files into zip volumes of a folder, small ones as segments, others as chunked streams; returns the triples.
+
+    Each task writes a volume of its own, so members have absolute names, which hold in any volume.
+    """
     spark = files.sparkSession
     zip_volume.register(spark)
     urn = F.concat(F.lit(base.rstrip("/") + "/"), F.regexp_replace("name", "^/+", ""))
     rows = files.select(urn.alias("urn"), "name", F.col("data").cast("binary").alias("data")).withColumn("kind", chunks.storage_choice(F.length("data"), codec, threshold))
-    plain = rows.where("kind = 'segment'").select(member_name("urn", F.lit(base)).alias("member"), F.col("data").alias("payload"), F.lit("stored" if codec == "none" else "deflate").alias("method"))
+    plain = rows.where("kind = 'segment'").select(member_name("urn", F.lit("-")).alias("member"), F.col("data").alias("payload"), F.lit("stored" if codec == "none" else "deflate").alias("method"))
     image_codec = "stored" if codec == "none" else codec
     cut = chunks.compress(chunks.chunked(rows.where("kind = 'image'"), chunk_size, per_bevy), image_codec, chunk_size)
 
@@ -142,7 +146,7 @@ def ingest(files: DataFrame, path: str, base: str, codec: str = "zlib", chunk_si
         urn, bevy = key[0].as_py(), key[1].as_py()
         return pa.table([pa.array([f"{urn}/{bevy:08d}", f"{urn}/{bevy:08d}.index"]), pa.array([b"".join(data), b"".join(index)], pa.binary())], ["urn", "payload"])
 
-    streams = cut.groupBy("urn", "bevy_id").applyInArrow(bevies, "urn string, payload binary").select(member_name("urn", F.lit(base)).alias("member"), "payload", F.lit("stored").alias("method"))
+    streams = cut.groupBy("urn", "bevy_id").applyInArrow(bevies, "urn string, payload binary").select(member_name("urn", F.lit("-")).alias("member"), "payload", F.lit("stored").alias("method"))
     kinds = F.when(F.col("kind") == "image", F.array(*[F.struct(F.lit(p).alias("p"), o.alias("o"), F.lit(dt).alias("dt")) for p, o, dt in (
         (TYPE, F.lit(chunks.IMAGE_STREAMS[0]), "urn"), (chunks.CHUNK_SIZE, F.lit(str(chunk_size)), "integer"), (chunks.CHUNKS_IN_SEGMENT, F.lit(str(per_bevy)), "integer"),
         (chunks.SIZE, F.length("data").cast("string"), "integer"), (COMPRESSION, F.lit(chunks.CODEC_URNS[image_codec]), "urn"))])).otherwise(F.array(F.struct(F.lit(TYPE).alias("p"), F.lit(triples.ZIP_SEGMENT).alias("o"), F.lit("urn").alias("dt"))))

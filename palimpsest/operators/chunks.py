@@ -228,13 +228,16 @@ def parameters(triples: DataFrame, codec: str = "zlib") -> DataFrame:
     )
 
 
-def storage_choice(size, codec: str = "zlib", threshold: int = SMALL_FILE) -> Column:
+def storage_choice(size: str | Column, codec: str = "zlib", threshold: int = SMALL_FILE) -> Column:
     """``segment`` for one member, ``image`` for a chunked stream."""
-    return F.when((F.lit(codec) == "none") | ((F.col(size) > 0) & (F.col(size) < threshold)), "segment").otherwise("image")
+    n = F.col(size) if isinstance(size, str) else size
+    return F.when((F.lit(codec) == "none") | ((n > 0) & (n < threshold)), "segment").otherwise("image")
 
 
 def symbolic(pattern: bytes | str, offset, length) -> Column:
     """``length`` units of an endless repetition of the pattern, from ``offset`` on."""
     n = len(pattern)
     start = F.pmod(offset, F.lit(n)).cast("int")
-    return F.substring(F.repeat(F.lit(pattern), F.ceil((start + length) / n).cast("int")), start + 1, length)
+    times = F.ceil((start + length) / n).cast("int")
+    whole = F.repeat(F.lit(pattern), times) if isinstance(pattern, str) else F.unhex(F.repeat(F.lit(pattern.hex()), times))
+    return F.substring(whole, start + 1, length)
