@@ -18,8 +18,8 @@ SPAN = 11
 WINDOW, MATCHES, SHARE = 16, 13, 0.8
 #: Items of fewer tokens are no evidence. Items of fewer tokens than SPAN are looked for without substitutions.
 LEAST_TOKENS = 5
-#: Positions of a block of tokens.
-STEP = 16
+#: Positions of a block of tokens: so few that the JVM compiles the expression of a block's hashes (methods over 8 kB stay interpreted).
+STEP = 4
 #: Most benchmark seeds that are broadcast (rows of 48 bytes: 12 MB); beyond it, seeds are joined by a shuffle.
 BROADCAST_SEEDS = 250_000
 
@@ -36,19 +36,25 @@ def seed(t: Column, at: Column | int, number: int, mask: tuple[int, ...]) -> Col
     return F.when(read[-1].isNotNull(), F.xxhash64(F.lit(number), *read))
 
 
-def seeds(df: DataFrame, masks: list[tuple[int, ...]], t: str, at: str) -> DataFrame:
-    """``df`` without ``t``, with a row for each position and mask that fits: adds ``at`` and ``key``.
+def bound(value: Column, f) -> Column:
+    """``f`` of a value that is computed once: the optimiser would copy its expression into the functions that read it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def seeds(df: DataFrame, masks: list[tuple[int, ...]], t: Column, at: str) -> DataFrame:
+    """``df`` without ``text``, with a row for each position and mask that fits: adds ``at`` and ``key``.
 
     Tokens are cut into blocks of STEP positions with the tokens that their masks reach beyond them. A row carries one
     block at most, so that a long text costs no more a token than a short one; the hashes of a block are one generated expression.
     """
     reach, k = max(m[-1] for m in masks), len(masks)
-    starts = F.sequence(F.lit(0), F.size(t) - 1, F.lit(STEP))
-    cut = df.where(F.size(t) > 0).withColumn("blocks", F.transform(starts, lambda i: F.slice(t, i + 1, STEP + reach))).drop(t)
-    block = cut.select(*[c for c in cut.columns if c != "blocks"], F.posexplode("blocks").alias("block", "cut"))
+    starts = lambda t: F.sequence(F.lit(0), F.greatest(F.size(t) - 1, F.lit(0)), F.lit(STEP))
+    blocks = bound(t, lambda t: F.transform(starts(t), lambda i: F.slice(t, i + 1, STEP + reach)))
+    block = df.select("*", F.posexplode(blocks).alias("block", "cut"))
     keys = F.array(*[seed(F.col("cut"), i, n, m) for i in range(STEP) for n, m in enumerate(masks)])
-    rows = block.withColumn("keys", keys).drop("cut")
-    rows = rows.select(*[c for c in rows.columns if c != "keys"], F.posexplode("keys").alias("j", "key")).where("key IS NOT NULL")
+    kept = [c for c in df.columns if c != "text"]
+    rows = block.select(*kept, "block", keys.alias("keys"))
+    rows = rows.select(*kept, "block", F.posexplode("keys").alias("j", "key")).where("key IS NOT NULL")
     return rows.withColumn(at, F.expr(f"block * {STEP} + CAST(j DIV {k} AS INT)")).drop("block", "j")
 
 
@@ -64,7 +70,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     masks = [*MASKS, *(tuple(range(n)) for n in lengths)]
     low = F.when(F.size("b") < WINDOW, 0).otherwise(F.greatest(F.lit(0), F.col("pos") + SPAN - WINDOW))
     whole = items.where(F.size("b") >= SPAN)
-    wanted = seeds(whole.withColumn("t", F.col("b")), list(MASKS), "t", "pos").select("key", "item_id", "pos", low.alias("low"))
+    wanted = seeds(whole, list(MASKS), F.col("b"), "pos").select("key", "item_id", "pos", low.alias("low"))
     for i, n in enumerate(lengths, len(MASKS)):
         wanted = wanted.union(items.where(F.size("b") == n).select(seed(F.col("b"), 0, i, masks[i]).alias("key"), "item_id", F.lit(0).alias("pos"), F.lit(0).alias("low")))
     wanted = wanted.distinct()
@@ -73,16 +79,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     known = items.select(F.col("item_id").alias("known_id"), "b", window.alias("window"), needed.alias("needed"))
     if wanted.count() <= BROADCAST_SEEDS:  # then there are no more items than seeds either
         wanted, known = F.broadcast(wanted), F.broadcast(known)
-    found = seeds(docs.select("doc_id", tokens(F.col("text")).alias("t")), masks, "t", "i")
+    found = seeds(docs.select("doc_id", "text"), masks, tokens(F.col("text")), "i")
     hits = found.join(wanted, "key").select("doc_id", F.struct("item_id", "i", "pos", "low").alias("hit"))
     hits = hits.groupBy(F.col("doc_id").alias("hit_id")).agg(F.collect_set("hit").alias("hits"))
-    near = docs.select("doc_id", "text").join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id"))).select("doc_id", "hits", tokens(F.col("text")).alias("t"))
+    near = docs.select("doc_id", "text").join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")))
     # The document's tokens beside the item's tokens from ``low`` on; ``skip``: how many of these lie before the document.
     base = lambda h: h["i"] - h["pos"] + h["low"]
-    parts = F.transform(
-        "hits",
-        lambda h: F.struct(h["item_id"].alias("item_id"), (h["pos"] - h["low"]).alias("own"), h["low"].alias("low"), base(h).alias("base"), F.slice("t", F.greatest(base(h), F.lit(0)) + 1, 2 * WINDOW - F.greatest(-base(h), F.lit(0))).alias("part")),
-    )
+    beside = lambda t, h: F.slice(t, F.greatest(base(h), F.lit(0)) + 1, 2 * WINDOW - F.greatest(-base(h), F.lit(0)))
+    part = lambda t, h: F.struct(h["item_id"].alias("item_id"), (h["pos"] - h["low"]).alias("own"), h["low"].alias("low"), base(h).alias("base"), beside(t, h).alias("part"))
+    parts = bound(tokens(F.col("text")), lambda t: F.transform("hits", lambda h: part(t, h)))
     rows = near.select("doc_id", F.explode(parts).alias("p")).select("doc_id", "p.*").join(known, F.col("item_id").eqNullSafe(F.col("known_id")))
     skip = F.greatest(-F.col("base"), F.lit(0))
     agree = F.transform(F.slice("b", F.col("low") + 1, 2 * WINDOW), lambda x, k: F.coalesce((F.get("part", k - skip) == x).cast("int"), F.lit(0)))
