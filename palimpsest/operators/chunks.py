@@ -16,10 +16,11 @@ SCHEMA = "urn string, chunk_id bigint, bevy_id bigint, chunk_in_bevy int, offset
 
 def chunked(streams: DataFrame, chunk_size: int = DEFAULT_CHUNK_SIZE, per_bevy: int = DEFAULT_CHUNKS_PER_BEVY, data: str = "data") -> DataFrame:
     """Chunks of (urn, data); the last of a stream may be short, and an empty stream has none. Data may be text, cut by characters."""
-    n = F.length(data)
-    rows = streams.where(n > 0).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.expr(f"CAST((length({data}) - 1) DIV {chunk_size} AS INT)"))))
-    payload = F.substring(F.col(data), F.col("chunk") * chunk_size + 1, F.lit(chunk_size))
-    out = rows.select("urn", F.col("chunk").cast("bigint").alias("chunk_id"), payload.alias("payload"))
+    count = lambda d: F.floor((F.length(d) - 1) / chunk_size).cast("int")
+    # The stream is bound to a variable and cut inside one expression: no row but its own carries it whole.
+    cut = F.get(F.transform(F.array(F.col(data)), lambda d: F.transform(F.sequence(F.lit(0), count(d)), lambda i: F.substring(d, i * chunk_size + 1, F.lit(chunk_size)))), F.lit(0))
+    rows = streams.where(F.length(data) > 0).select("urn", F.posexplode(cut).alias("chunk", "payload"))
+    out = rows.select("urn", F.col("chunk").cast("bigint").alias("chunk_id"), "payload")
     return out.select(
         "urn",
         "chunk_id",

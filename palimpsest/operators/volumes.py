@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,18 +63,29 @@ def add_volumes(segments: DataFrame, more: DataFrame) -> DataFrame:
 def split_parts(segments: DataFrame, key: list[str], size: str, limit: int, group: str | None = None) -> DataFrame:
     """Adds ``part``: a segment opens the next part when the current one has reached ``limit``.
 
-    The rule is a sequential fold, so each ``group`` (an output volume) is one ordered list of (key, size), without payloads.
+    The rule is a sequential fold over the segments of a ``group`` (an output volume) in order of ``key``. Groups are
+    dealt to tasks and sorted by Spark; the fold keeps two numbers, so a group of any length is never held in memory.
     """
-    by = [group] if group else []
-    item = F.struct(*key, F.col(size).cast("bigint").alias("_size"))
-    lists = segments.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    fields = ", ".join(f"{c}: {segments.schema[c].dataType.simpleString()}" for c in key)
-    values = ", ".join(f"'{c}', x.{c}" for c in key)
-    fold = f"""aggregate(items, named_struct('part', 0, 'used', 0L, 'out', CAST(array() AS array<struct<{fields}, part: int>>)),
-      (a, x) -> IF(a.used >= {limit},
-        named_struct('part', a.part + 1, 'used', x._size, 'out', array_append(a.out, named_struct({values}, 'part', a.part + 1))),
-        named_struct('part', a.part, 'used', a.used + x._size, 'out', array_append(a.out, named_struct({values}, 'part', a.part)))))"""
-    return lists.select(*by, F.explode(F.expr(fold)["out"]).alias("x")).select(*by, "x.*")
+    by = group or "_all"
+    rows = segments.withColumn("_all", F.lit(0)).select(by, *key, F.col(size).cast("bigint").alias("_size"))
+    rows = rows.repartition(by).sortWithinPartitions(by, *key)
+
+    def run(batches):
+        now, part, used = object(), 0, 0
+        for batch in batches:
+            parts = []
+            for g, n in zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+                if g != now:
+                    now, part, used = g, 0, 0
+                elif used >= limit:
+                    part, used = part + 1, 0
+                used += n or 0
+                parts.append(part)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(parts, pa.int32())], [by, *key, "part"])
+
+    own = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (by, *key))
+    out = rows.mapInArrow(run, f"{own}, part int")
+    return out if group else out.drop("_all")
 
 
 def part_name(name: str, part: int) -> str:

@@ -54,13 +54,18 @@ def delete_directory(path: str) -> None:
     fs.delete_dir(folder)
 
 
+def records(data: str, size: int) -> F.Column:
+    """Array of the packed records of a binary column, so that exploded rows carry one record each."""
+    last = lambda d: F.floor(F.length(d) / size).cast("int") - 1
+    cut = lambda d: F.transform(F.sequence(F.lit(0), F.greatest(last(d), F.lit(0))), lambda i: F.substring(d, i * size + 1, F.lit(size)))
+    return F.filter(F.get(F.transform(F.array(F.col(data)), cut), F.lit(0)), lambda r: F.length(r) == size)
+
+
 def decode_map(maps: DataFrame) -> DataFrame:
     """Ranges of (map_urn, map, idx): packed records of 28 bytes, and one target a line (CRLF allowed)."""
     targets = F.split(F.regexp_replace(F.col("idx").cast("string"), r"\r?\n$", ""), r"\r?\n")
-    n = F.expr(f"length(map) DIV {struct.calcsize(RANGE)}")
-    rows = maps.where(n > 0).select("map_urn", "map", targets.alias("targets"), F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("i"))
-    at = F.col("i") * struct.calcsize(RANGE)
-    read = lambda offset, size: little_endian("map", at + offset, size)
+    rows = maps.select("map_urn", targets.alias("targets"), F.posexplode(records("map", struct.calcsize(RANGE))).alias("i", "r"))
+    read = lambda offset, size: little_endian("r", offset, size)
     out = rows.select("map_urn", read(0, 8).alias("map_offset"), read(8, 8).alias("length"), read(16, 8).alias("target_offset"), read(24, 4).cast("int").alias("target_id"), "targets", F.col("i").cast("bigint").alias("seq"))
     return out.withColumn("target", F.get("targets", F.col("target_id"))).drop("targets")
 
@@ -80,10 +85,8 @@ def encode_map(ranges: DataFrame) -> DataFrame:
 
 def decode_index(indexes: DataFrame) -> DataFrame:
     """(urn, bevy_id, chunk_in_bevy, offset, length) of (urn, bevy_id, index): packed records of 12 bytes."""
-    n = F.expr(f"length(index) DIV {struct.calcsize(INDEX)}")
-    rows = indexes.where(n > 0).select("urn", "bevy_id", "index", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("chunk_in_bevy"))
-    at = F.col("chunk_in_bevy") * struct.calcsize(INDEX)
-    return rows.select("urn", "bevy_id", "chunk_in_bevy", little_endian("index", at, 8).alias("offset"), little_endian("index", at + 8, 4).alias("length"))
+    rows = indexes.select("urn", "bevy_id", F.posexplode(records("index", struct.calcsize(INDEX))).alias("chunk_in_bevy", "r"))
+    return rows.select("urn", "bevy_id", "chunk_in_bevy", little_endian("r", 0, 8).alias("offset"), little_endian("r", 8, 4).alias("length"))
 
 
 def elf_core_header(layout: list[tuple[int, int, int]]) -> bytes:
