@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.textops import PASS_BYTES
+from palimpsest.llm.textops import PASS_BYTES, shared_checkpoints
 
 #: Payloads of fewer bytes are stored with every record.
 LEAST_REVISIT = 1000
@@ -128,9 +128,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def resolved(archive: DataFrame) -> DataFrame:
     """Per record page_id, payload_bytes, payload_digest (both from stored payloads), record_type and refers_to.
 
-    A revisit is joined to the response that it refers to; one whose response is missing has nulls.
+    A revisit is joined to the response that it refers to; one whose response is missing has nulls. The archives are
+    read once: headers and digests go to the checkpoint folder, payloads stay behind.
     """
-    read = archive.select("page_id", "record_id", "record_type", "refers_to_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
+    shared_checkpoints(archive.sparkSession)
+    read = archive.select("page_id", "record_id", "record_type", "refers_to_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest")).checkpoint()
     own = read.where("record_type <> 'revisit'")
     wanted = read.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to_id")
     originals = own.groupBy(F.col("record_id").alias("refers_to_id")).agg(F.max("page_id").alias("refers_to"), F.first("payload_bytes").alias("payload_bytes"), F.first("payload_digest").alias("payload_digest"))
