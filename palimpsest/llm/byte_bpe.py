@@ -172,18 +172,29 @@ class Vocabulary(dict):
             i = after[i]
         return out
 
+    @functools.cached_property
+    def pairs(self) -> dict[int, int]:
+        """Rank, which is also the id, of the token that two ids make together, by both ids in one number."""
+        rank = self.ranks.get
+        return {left << 32 | right: i for token, i in self.ranks.items() for k in range(1, len(token)) if (left := rank(token[:k])) is not None and (right := rank(token[k:])) is not None}
+
+    @functools.cached_property
+    def byte_ids(self) -> list[int]:
+        return [self.ranks[bytes([b])] for b in range(256)]
+
     def merge_short(self, piece: bytes) -> list[int]:
-        rank, never = self.ranks.get, len(self.bytes_of)
-        bound = list(range(len(piece) + 1))
-        pairs = [rank(piece[i : i + 2], never) for i in bound[:-2]]
+        rank, never = self.pairs.get, len(self.bytes_of)
+        ids = [self.byte_ids[b] for b in piece]
+        pairs = [rank(a << 32 | b, never) for a, b in zip(ids, ids[1:])]
         while pairs and (least := min(pairs)) != never:
             i = pairs.index(least)
-            del bound[i + 1], pairs[i]
+            ids[i] = least
+            del ids[i + 1], pairs[i]
             if i < len(pairs):
-                pairs[i] = rank(piece[bound[i] : bound[i + 2]], never)
+                pairs[i] = rank(least << 32 | ids[i + 1], never)
             if i:
-                pairs[i - 1] = rank(piece[bound[i - 1] : bound[i + 1]], never)
-        return [self.ranks[piece[a:b]] for a, b in zip(bound, bound[1:])]
+                pairs[i - 1] = rank(ids[i - 1] << 32 | least, never)
+        return ids
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts, the bounds of each text in them, and each token's byte offset in its text."""
