@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from palimpsest.llm.textops import shared_checkpoints
 
 
+def keyed(df: DataFrame, column: str) -> DataFrame:
+    """Adds a join key that no grouping by ``column`` has dealt yet: both sides of the join are then shuffled for it
+    alone, and adaptive execution can split a hot node's rows, as it can't below an aggregation."""
+    return df.withColumn("k", F.bitwise_not(column))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``root`` (the least node of its component) for every node of an edge other than the root itself.
 
@@ -21,9 +27,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while mark[0]:
         both = now.union(now.select("lo", "hi")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = keyed(both, "u").join(keyed(least, "u").drop("u"), "k").where("v > u AND v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        pairs = large.join(down, "hi")
+        pairs = keyed(large, "hi").join(keyed(down, "hi").drop("hi"), "k")
         small = pairs.select("hi", F.col("m").alias("lo")).union(pairs.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))).distinct()
         now = small.checkpoint()
         before, mark = mark, state(now)
