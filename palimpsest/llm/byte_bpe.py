@@ -30,7 +30,7 @@ SHORT_ENDINGS = "stmd"
 LONG_ENDINGS = ("re", "ve", "ll")
 
 #: Pre-tokens whose ids a Python worker keeps; the store is emptied when it is full.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
 #: Pieces of at most this many bytes merge by scanning a list of pair ranks, longer ones by a heap.
 SHORT_PIECE = 48
 
