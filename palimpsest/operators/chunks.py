@@ -19,6 +19,8 @@ def chunked(streams: DataFrame, chunk_size: int = DEFAULT_CHUNK_SIZE, per_bevy:
     count = lambda d: F.floor((F.length(d) - 1) / chunk_size).cast("int")
     # The stream is bound to a variable and cut inside one expression: no row but its own carries it whole.
     cut = F.get(F.transform(F.array(F.col(data)), lambda d: F.transform(F.sequence(F.lit(0), count(d)), lambda i: F.substring(d, i * chunk_size + 1, F.lit(chunk_size)))), F.lit(0))
+    if streams.schema[data].dataType.simpleString() == "string":  # one pass over the characters, which have no fixed width
+        cut = F.regexp_extract_all(F.col(data), F.lit(f"(?s).{{1,{chunk_size}}}"), F.lit(0))
     rows = streams.where(F.length(data) > 0).select("urn", F.posexplode(cut).alias("chunk", "payload"))
     out = rows.select("urn", F.col("chunk").cast("bigint").alias("chunk_id"), "payload")
     return out.select(
