@@ -4,7 +4,8 @@ A seed mask reads some of the tokens at a position and ignores those between, so
 the seeds that read it. Seeds of all benchmark items and of all document positions are joined by hash; each hit fixes
 an alignment, on which windows of WINDOW tokens around the hit are compared token by token.
 
-The two masks together hit every window of 16 tokens with up to 3 substitutions.
+The two masks together hit every window of 16 tokens with up to 3 substitutions, at any place of the window that a mask
+of its own span can take.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ def bound(value: Column, f) -> Column:
 
 
 def seeds(df: DataFrame, masks: list[tuple[int, ...]], t: Column, at: str) -> DataFrame:
-    """``df`` without ``text``, with a row for each position and mask that fits: adds ``at`` and ``key``.
+    """``df`` without ``text``, with a row for each position and mask that fits: adds ``at``, ``key`` and ``mask`` (its number).
 
     Tokens are cut into blocks of STEP positions with the tokens that their masks reach beyond them. A row carries one
     block at most, so that a long text costs no more a token than a short one; the hashes of a block are one generated expression.
@@ -55,7 +56,7 @@ def seeds(df: DataFrame, masks: list[tuple[int, ...]], t: Column, at: str) -> Da
     kept = [c for c in df.columns if c != "text"]
     rows = block.select(*kept, "block", keys.alias("keys"))
     rows = rows.select(*kept, "block", F.posexplode("keys").alias("j", "key")).where("key IS NOT NULL")
-    return rows.withColumn(at, F.expr(f"block * {STEP} + CAST(j DIV {k} AS INT)")).drop("block", "j")
+    return rows.withColumn(at, F.expr(f"block * {STEP} + CAST(j DIV {k} AS INT)")).withColumn("mask", F.col("j") % k).drop("block", "j")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -68,7 +69,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select("item_id", tokens(F.col("text")).alias("b")).where(F.size("b") >= LEAST_TOKENS).distinct()
     lengths = sorted(r[0] for r in items.where(F.size("b") < SPAN).select(F.size("b")).distinct().collect())
     masks = [*MASKS, *(tuple(range(n)) for n in lengths)]
-    low = F.when(F.size("b") < WINDOW, 0).otherwise(F.greatest(F.lit(0), F.col("pos") + SPAN - WINDOW))
+    # The first window that holds the whole seed: a mask of a short span may lie farther into it.
+    span = F.get(F.array(*[F.lit(m[-1] + 1) for m in MASKS]), F.col("mask"))
+    low = F.when(F.size("b") < WINDOW, 0).otherwise(F.greatest(F.lit(0), F.col("pos") + span - WINDOW))
     whole = items.where(F.size("b") >= SPAN)
     wanted = seeds(whole, list(MASKS), F.col("b"), "pos").select("key", "item_id", "pos", low.alias("low"))
     for i, n in enumerate(lengths, len(MASKS)):

@@ -1,3 +1,4 @@
+import itertools
 import json
 import random
 import re
@@ -56,6 +57,24 @@ def test_windows_with_three_substitutions_are_found(spark):
     assert len(got) >= 50 and (103, 7) not in got and (102, 5) in got
 
 
+def changed(words, at):
+    return " ".join(f"changed{k}" if k in at else w for k, w in enumerate(words))
+
+
+def found_and_brute(spark, documents, items):
+    got = {(r.doc_id, r.item_id): (r.matches, r.window, r.start) for r in d8.overlaps(frame(spark, documents, "doc_id"), frame(spark, items, "item_id")).collect()}
+    return got, brute_overlaps(documents, items)
+
+
+def test_all_patterns_of_three_substitutions_in_a_window(spark):
+    short, long = [f"a{i}" for i in range(16)], [f"c{i}" for i in range(40)]
+    patterns = list(itertools.combinations(range(16), 3))
+    documents = [(i, changed(short, at)) for i, at in enumerate(patterns)]
+    documents += [(1000 + i, f"one two three {changed(long[12:28], at)} four five") for i, at in enumerate(patterns)]
+    got, want = found_and_brute(spark, documents, [(1, " ".join(short)), (2, " ".join(long))])
+    assert len(want) == 2 * 560 and got == want
+
+
 def test_shuffled_seeds_give_the_same(spark, monkeypatch):
     documents = frame(spark, [(i, " ".join(f"w{(i * 7 + k) % 50}" for k in range(40))) for i in range(30)], "doc_id")
     items = frame(spark, [(k, " ".join(f"w{(k + j) % 50}" for j in range(18))) for k in range(0, 50, 5)], "item_id")
