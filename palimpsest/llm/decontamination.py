@@ -5,7 +5,8 @@ the seeds that read it. Seeds of all benchmark items and of all document positio
 an alignment, on which windows of WINDOW tokens around the hit are compared token by token.
 
 The two masks together hit every window of 16 tokens with up to 3 substitutions, at any place of the window that a mask
-of its own span can take.
+of its own span can take. Items of 11 to 15 tokens give seeds of a third mask too: the three hit every pattern of
+substitutions that SHARE allows at each of these lengths.
 """
 
 from __future__ import annotations
@@ -14,13 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MASKS = ((0, 2, 3, 6, 7, 8), (0, 1, 2, 7, 9, 10))
+#: For items of SPAN to WINDOW - 1 tokens besides: found by search, the heaviest kind of which one mask suffices at all these lengths.
+SHORT_MASK = (0, 1, 2, 3, 5)
 SPAN = 11
 #: Tokens of a compared window, and how many of them must agree; shorter items are one window, of which SHARE must agree.
 WINDOW, MATCHES, SHARE = 16, 13, 0.8
 #: Items of fewer tokens are no evidence. Items of fewer tokens than SPAN are looked for without substitutions.
 LEAST_TOKENS = 5
-#: Positions of a block of tokens: so few that the JVM compiles the expression of a block's hashes (methods over 8 kB stay interpreted).
-STEP = 4
+#: Hashes of a block of tokens (4 positions of two masks): so few that the JVM compiles their expression (methods over 8 kB stay interpreted).
+BLOCK_HASHES = 8
 #: Most benchmark seeds that are broadcast (rows of 48 bytes: 12 MB); beyond it, seeds are joined by a shuffle.
 BROADCAST_SEEDS = 250_000
 
@@ -45,18 +48,19 @@ def bound(value: Column, f) -> Column:
 def seeds(df: DataFrame, masks: list[tuple[int, ...]], t: Column, at: str) -> DataFrame:
     """``df`` without ``text``, with a row for each position and mask that fits: adds ``at``, ``key`` and ``mask`` (its number).
 
-    Tokens are cut into blocks of STEP positions with the tokens that their masks reach beyond them. A row carries one
+    Tokens are cut into blocks of a few positions with the tokens that their masks reach beyond them. A row carries one
     block at most, so that a long text costs no more a token than a short one; the hashes of a block are one generated expression.
     """
     reach, k = max(m[-1] for m in masks), len(masks)
-    starts = lambda t: F.sequence(F.lit(0), F.greatest(F.size(t) - 1, F.lit(0)), F.lit(STEP))
-    blocks = bound(t, lambda t: F.transform(starts(t), lambda i: F.slice(t, i + 1, STEP + reach)))
+    step = max(1, BLOCK_HASHES // k)
+    starts = lambda t: F.sequence(F.lit(0), F.greatest(F.size(t) - 1, F.lit(0)), F.lit(step))
+    blocks = bound(t, lambda t: F.transform(starts(t), lambda i: F.slice(t, i + 1, step + reach)))
     block = df.select("*", F.posexplode(blocks).alias("block", "cut"))
-    keys = F.array(*[seed(F.col("cut"), i, n, m) for i in range(STEP) for n, m in enumerate(masks)])
+    keys = F.array(*[seed(F.col("cut"), i, n, m) for i in range(step) for n, m in enumerate(masks)])
     kept = [c for c in df.columns if c != "text"]
     rows = block.select(*kept, "block", keys.alias("keys"))
     rows = rows.select(*kept, "block", F.posexplode("keys").alias("j", "key")).where("key IS NOT NULL")
-    return rows.withColumn(at, F.expr(f"block * {STEP} + CAST(j DIV {k} AS INT)")).withColumn("mask", F.col("j") % k).drop("block", "j")
+    return rows.withColumn(at, F.expr(f"block * {step} + CAST(j DIV {k} AS INT)")).withColumn("mask", F.col("j") % k).drop("block", "j")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -67,14 +71,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pair of identifiers. Null identifiers are kept as they are. Empty tables give no rows; further columns are not read.
     """
     items = benchmark.select("item_id", tokens(F.col("text")).alias("b")).where(F.size("b") >= LEAST_TOKENS).distinct()
-    lengths = sorted(r[0] for r in items.where(F.size("b") < SPAN).select(F.size("b")).distinct().collect())
-    masks = [*MASKS, *(tuple(range(n)) for n in lengths)]
+    sizes = sorted(r[0] for r in items.where(F.size("b") < WINDOW).select(F.size("b")).distinct().collect())
+    lengths = [n for n in sizes if n < SPAN]
+    spaced = [*MASKS, SHORT_MASK] if sizes[len(lengths) :] else [*MASKS]
+    masks = [*spaced, *(tuple(range(n)) for n in lengths)]
     # The first window that holds the whole seed: a mask of a short span may lie farther into it.
     span = F.get(F.array(*[F.lit(m[-1] + 1) for m in MASKS]), F.col("mask"))
-    low = F.when(F.size("b") < WINDOW, 0).otherwise(F.greatest(F.lit(0), F.col("pos") + span - WINDOW))
-    whole = items.where(F.size("b") >= SPAN)
-    wanted = seeds(whole, list(MASKS), F.col("b"), "pos").select("key", "item_id", "pos", low.alias("low"))
-    for i, n in enumerate(lengths, len(MASKS)):
+    low = F.greatest(F.lit(0), F.col("pos") + span - WINDOW)
+    wanted = seeds(items.where(F.size("b") >= WINDOW), list(MASKS), F.col("b"), "pos").select("key", "item_id", "pos", low.alias("low"))
+    if len(spaced) > len(MASKS):
+        wanted = wanted.union(seeds(items.where(F.size("b").between(SPAN, WINDOW - 1)), spaced, F.col("b"), "pos").select("key", "item_id", "pos", F.lit(0).alias("low")))
+    for i, n in enumerate(lengths, len(spaced)):
         wanted = wanted.union(items.where(F.size("b") == n).select(seed(F.col("b"), 0, i, masks[i]).alias("key"), "item_id", F.lit(0).alias("pos"), F.lit(0).alias("low")))
     wanted = wanted.distinct()
     window = F.least(F.size("b"), F.lit(WINDOW))

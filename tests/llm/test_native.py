@@ -75,6 +75,16 @@ def test_all_patterns_of_three_substitutions_in_a_window(spark):
     assert len(want) == 2 * 560 and got == want
 
 
+def test_all_patterns_that_short_items_allow(spark):
+    documents, items = [], []
+    for n in range(d8.SPAN, d8.WINDOW):
+        item = [f"n{n}x{i}" for i in range(n)]
+        items.append((n, " ".join(item)))
+        documents += [(n * 1000 + i, changed(item, at)) for i, at in enumerate(itertools.combinations(range(n), n * 2 // 10))]
+    got, want = found_and_brute(spark, documents, items)
+    assert len(want) == 55 + 66 + 78 + 91 + 455 and got == want
+
+
 def test_shuffled_seeds_give_the_same(spark, monkeypatch):
     documents = frame(spark, [(i, " ".join(f"w{(i * 7 + k) % 50}" for k in range(40))) for i in range(30)], "doc_id")
     items = frame(spark, [(k, " ".join(f"w{(k + j) % 50}" for j in range(18))) for k in range(0, 50, 5)], "item_id")
