@@ -2,18 +2,35 @@
 
 from __future__ import annotations
 
+import re
 import struct
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.urns import domain, escape_component, glob_match, member_name, path
-from palimpsest.operators import chunks, triples
+from palimpsest.operators import chunks, ranges, triples
 from palimpsest.operators.volumes import resolve
+from palimpsest.plans.lineage import cut
+from palimpsest.sources import files as streams
 from palimpsest.sources import turtle, zip_volume
-from palimpsest.vocabulary import COMPRESSION, IMAGE, INFORMATION_TURTLE, MAP, ORIGINAL_FILENAME, STORED, TYPE, ZIP_SEGMENT
+from palimpsest.vocabulary import COMPRESSION, IMAGE, INFORMATION_TURTLE, MAP, ORIGINAL_FILENAME, SIZE, STORED, SYMBOLIC, SYMBOLIC_PREFIX, TYPE, ZIP_SEGMENT
+
+#: Deepest nesting of maps in targets of maps.
+DEPTH = 32
+#: Parts of one target that lie so near to each other are read together.
+NEAR = 64 << 10
+#: Bytes of an export that are read at a time.
+PIECE = 32 << 20
+
+
+def symbol(urn: str) -> bytes | None:
+    """The pattern that a symbolic stream repeats."""
+    byte = re.fullmatch(re.escape(SYMBOLIC_PREFIX) + "([0-9A-F]{2})", urn)
+    return bytes.fromhex(byte[1]) if byte else SYMBOLIC.get(urn)
 
 
 @dataclass
@@ -22,6 +39,7 @@ class Volumes:
 
     segments: DataFrame
     triples: DataFrame
+    maps: dict = field(default_factory=dict, repr=False, compare=False)
 
     def list_images(self) -> DataFrame:
         return triples.query(self.triples, TYPE, IMAGE)
@@ -36,33 +54,125 @@ class Volumes:
         return triples.first_image(self.triples).first()[0]
 
     def resolve(self) -> DataFrame:
+        return self.resolved
+
+    @cached_property
+    def resolved(self) -> DataFrame:
         return resolve(self.triples)
 
     def chunks(self) -> DataFrame:
         """Stored chunks of all image streams, decompressed: bevies are cut by their indexes."""
         return stored_chunks(self)
 
-    def read(self, urn: str, offset: int, length: int) -> bytes:
-        """Bytes of a stream or of a stored segment; a short read at the end."""
-        found = resolve(self.triples).where(F.col("s") == urn).select("stream", "kind").first()
-        stream, kind = (found.stream, found.kind) if found else (urn, "segment")
+    def find(self, urn: str) -> tuple[str, str]:
+        """Stream and kind (image, map, symbolic or segment) that a URN leads to."""
+        found = self.resolved.where(F.col("s") == urn).select("stream", "kind").first()
+        stream, kind = (found.stream, found.kind) if found else (urn, "not_found")
+        return stream, ("symbolic" if symbol(stream) else "segment") if kind == "not_found" else kind
+
+    def read(self, urn: str, offset: int, length: int, depth: int = DEPTH) -> bytes:
+        """Bytes of an image, map or symbolic stream or of a stored segment; a short read at the end, which symbolic streams have not.
+
+        Gaps of maps and what a target is too short for read as NUL bytes.
+        """
+        stream, kind = self.find(urn)
         if kind == "image":
             size = chunks.parameters(self.triples).where(F.col("s") == stream).first()
-            return chunks.read(self.chunks(), stream, offset, min(length, max((size["size"] or 0) - offset, 0)), size.chunk_size)
+            length = min(length, max((size["size"] or 0) - offset, 0))
+            bevy = size.chunk_size * size.per_bevy
+            return chunks.read(stored_chunks(self, stream, offset // bevy, (offset + length) // bevy), stream, offset, length, size.chunk_size)
+        if kind == "symbolic":
+            pattern = symbol(stream)
+            start, length = offset % len(pattern), max(length, 0)
+            return (pattern * ((start + length) // len(pattern) + 1))[start : start + length]
+        if kind == "map":
+            return self.read_map(stream, offset, min(length, self.map_size(stream) - offset), depth)
         row = self.segments.where(F.col("urn") == stream).select(F.substring("payload", offset + 1, length).alias("d")).first()
         if row is None:
             raise FileNotFoundError(urn)
         return bytes(row.d)
 
+    def map_ranges(self, stream: str) -> DataFrame:
+        """Ranges of a map from its streams ``map`` and ``idx``, the newest over the older ones."""
+        if stream not in self.maps:
+            spark = self.segments.sparkSession
+            part = {}
+            for name in ("map", "idx"):
+                urn = f"{stream}/{name}"
+                rows = self.segments.where(F.col("urn") == urn).select(F.lit(stream).alias("map_urn"), F.col("payload").alias(name)).limit(1)
+                if self.find(urn)[1] != "segment":
+                    rows = spark.createDataFrame([(stream, self.read(urn, 0, self.object_size(urn)))], f"map_urn string, {name} binary")
+                elif rows.isEmpty():
+                    raise FileNotFoundError(urn)
+                part[name] = rows
+            self.maps[stream] = cut(ranges.overlay(streams.decode_map(part["map"].join(part["idx"], "map_urn"))))
+        return self.maps[stream]
+
+    def map_size(self, stream: str) -> int:
+        row = self.triples.where((F.col("s") == stream) & (F.col("p") == SIZE)).agg(F.max_by("o", "seq").try_cast("bigint").alias("size")).first()
+        if row["size"] is not None:
+            return row["size"]
+        row = ranges.size(self.map_ranges(stream)).first()
+        return row["size"] if row else 0
+
+    def read_map(self, stream: str, offset: int, length: int, depth: int) -> bytes:
+        """Bytes of a map that lie within its size, read from its targets."""
+        if length <= 0:
+            return b""
+        if not depth:
+            raise RecursionError(f"maps nested too deep: {stream}")
+        request = self.segments.sparkSession.createDataFrame([(0, stream, offset, length)], "request_id int, map_urn string, offset bigint, length bigint")
+        parts = ranges.lookup(self.map_ranges(stream), request).select("target", "target_offset", "length", "out_offset").collect()
+        out, near = bytearray(length), []
+        for r in sorted(parts, key=lambda r: (r.target or "", r.target_offset)):
+            if r.target is None:
+                raise OSError(f"a range of {stream} has no target")
+            end = r.target_offset + r.length
+            if near and near[-1][0] == r.target and r.target_offset <= near[-1][2] + NEAR:
+                near[-1][2] = max(near[-1][2], end)
+                near[-1][3].append(r)
+            else:
+                near.append([r.target, r.target_offset, end, [r]])
+        for target, first, end, rows in near:
+            data = self.read(target, first, end - first, depth - 1)
+            for r in rows:
+                piece = data[r.target_offset - first :][: r.length]
+                out[r.out_offset : r.out_offset + len(piece)] = piece
+        return bytes(out)
+
     def object_size(self, urn: str) -> int:
-        found = resolve(self.triples).where(F.col("s") == urn).select("stream", "kind").first()
-        stream = found.stream if found else urn
+        """Bytes of a stream or segment; symbolic streams have no end and give 0."""
+        stream, kind = self.find(urn)
+        if kind == "map":
+            return self.map_size(stream)
         row = chunks.parameters(self.triples).where(F.col("s") == stream).first()
         if row is not None and row["size"] is not None:
             return row["size"]
         row = self.segments.where(F.col("urn") == stream).select("size").first()
         return row[0] if row else 0
 
+    def export(self, folder: str, pattern: str = "*", piece: int = PIECE) -> list[tuple[str, str, int, str | None]]:
+        """Writes the planned streams below a folder; (s, target, bytes, error) of each. An error ends its own stream only, whose file is not kept."""
+        fs, root = zip_volume.file_system(folder)
+        out = []
+        for s, target in self.export_plan(pattern).orderBy("s").toLocalIterator():
+            path, temporary, n, error = f"{root}/{target}", f"{root}/{target}.tmp", 0, None
+            try:
+                if ".." in target.split("/"):
+                    raise ValueError("the name leads out of the folder")
+                size = self.object_size(s)
+                fs.create_dir(path.rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(temporary) as f:
+                    n = streams.write_raw(({"position": at, "payload": self.read(s, at, min(piece, size - at))} for at in range(0, size, piece)), f)
+                if n != size:
+                    fs.delete_file(temporary)
+                    raise OSError(f"{n} of {size} bytes could be read")
+                fs.move(temporary, path)
+            except Exception as e:  # the others are exported all the same
+                error = str(e) or type(e).__name__
+            out.append((s, target, n, error))
+        return out
+
     def get_property(self, urn: str, attribute: str, dt: str) -> str | None:
         row = triples.get(self.triples, urn, attribute, dt).first()
         return row.o if row else None
@@ -91,14 +201,16 @@ def export_candidates(store: DataFrame, pattern: str = "*") -> DataFrame:
     return found.select("s", F.concat_ws("/", F.when(domain("s") != "", domain("s")), escape_component(path("s"))).alias("target"))
 
 
-def stored_chunks(volumes: Volumes) -> DataFrame:
-    """Chunks (urn, chunk_id, offset, length, payload) of image streams from their bevy and index members.
+def stored_chunks(volumes: Volumes, stream: str | None = None, first: int = 0, last: int | None = None) -> DataFrame:
+    """Chunks (urn, chunk_id, offset, length, payload) of image streams from their bevy and index members, or of one stream's bevies ``first`` to ``last``.
 
     A bevy and its index meet by name; the cut and the decompression are one pass over each bevy.
     """
     s = volumes.segments.select("urn", "payload")
     bevy = F.regexp_extract("urn", r"^(.*)/([0-9]{8})(\.index)?$", 2)
     named = s.where(bevy != "").select(F.regexp_extract("urn", r"^(.*)/([0-9]{8})(\.index)?$", 1).alias("stream"), bevy.cast("bigint").alias("bevy_id"), F.col("urn").endswith(".index").alias("is_index"), "payload")
+    if stream is not None:
+        named = named.where((F.col("stream") == stream) & (F.col("bevy_id") >= first) & (F.col("bevy_id") <= (first if last is None else last)))
     bevies = named.where("NOT is_index").drop("is_index").join(named.where("is_index").select("stream", "bevy_id", F.col("payload").alias("index")), ["stream", "bevy_id"])
     bevies = bevies.join(chunks.parameters(volumes.triples).select(F.col("s").alias("stream"), "chunk_size", "per_bevy", "codec"), "stream")
 

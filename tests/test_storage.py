@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from palimpsest import commands
 from palimpsest.operators import chunks
 from palimpsest.sources import files, zip_volume
-from palimpsest.vocabulary import CODEC_URNS, IMAGE, ORIGINAL_FILENAME, PREFIX, SCHEME
+from palimpsest.vocabulary import CODEC_URNS, DATA_STREAM, IMAGE, MAP, NS, ORIGINAL_FILENAME, PREFIX, SCHEME, SIZE, STORED, TYPE, ZIP_SEGMENT
 
 TEXT = "".join(f"Hello world {i:02d}!" for i in range(100)).encode()
 BASE = f"{PREFIX}volume"
@@ -94,6 +94,28 @@ def test_ingest_and_read_back(spark, tmp_path, codec):
     assert IMAGE in v.view()
 
 
+def stored(spark, members, meta):
+    segments = spark.createDataFrame([(n, d, len(d)) for n, d in members.items()], "urn string, payload binary, size bigint")
+    rows = [("v", s, p, o, dt, i) for i, (s, p, o, dt) in enumerate(meta)]
+    rows += [("v", n, STORED, "v", "urn", 0) for n in members] + [("v", n, TYPE, ZIP_SEGMENT, "urn", 1 << 40) for n in members]
+    return commands.Volumes(segments, spark.createDataFrame(rows, "volume string, s string, p string, o string, dt string, seq bigint"))
+
+
+def test_maps_and_symbolic_streams_are_read_and_exported(spark, tmp_path):
+    packed = b"".join(struct.pack("<QQQI", *r) for r in [(0, 10, 4, 0), (20, 10, 0, 1), (30, 6, 4, 0), (40, 5, 17, 0), (47, 8, 2, 2)])
+    m, inner = f"{BASE}/m", f"{BASE}/inner"
+    members = {f"{BASE}/data": b"0123456789abcdefghij", f"{m}/map": packed, f"{m}/idx": f"{BASE}/data\r\n{NS}UnreadableData\r\n{inner}\r\n".encode(), f"{inner}/map": struct.pack("<QQQI", 0, 10, 0, 0), f"{inner}/idx": f"{BASE}/data".encode()}
+    meta = [(m, TYPE, MAP, "urn"), (m, SIZE, "60", "integer"), (inner, TYPE, MAP, "urn"), (f"{BASE}/memory", TYPE, IMAGE, "urn"), (f"{BASE}/memory", DATA_STREAM, m, "urn")]
+    v = stored(spark, members, meta)
+    want = b"456789abcd" + b"\0" * 10 + b"UNREADABLE" + b"456789" + b"\0" * 4 + b"hij\0\0" + b"\0\0" + b"23456789" + b"\0" * 5
+    assert len(want) == 60 and v.read(f"{BASE}/memory", 0, 100) == want and v.read(m, 25, 8) == want[25:33]
+    assert (v.object_size(f"{BASE}/memory"), v.object_size(m), v.object_size(inner)) == (60, 60, 10)
+    assert v.read(f"{NS}UnknownData", 5, 9) == b"WNUNKNOWN" and v.read(f"{NS}SymbolicStream0A", 3, 2) == b"\n\n"
+    got = {s: (target, n, error) for s, target, n, error in v.export(str(tmp_path), piece=7)}
+    assert set(got) == {m, inner, f"{BASE}/memory"} and all(error is None for _, _, error in got.values())
+    assert all((tmp_path / got[s][0]).read_bytes() == want for s in (m, f"{BASE}/memory")) and (tmp_path / got[inner][0]).read_bytes() == b"0123456789"
+
+
 def test_directory_volume(spark, tmp_path):
     rows = spark.createDataFrame([("Foobar.txt", b"Hello world"), ("a:b/c", b"x")], "member string, payload binary")
     files.write_directory(rows, str(tmp_path / "d"))
