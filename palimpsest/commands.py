@@ -80,7 +80,10 @@ class Volumes:
             size = chunks.parameters(self.triples).where(F.col("s") == stream).first()
             length = min(length, max((size["size"] or 0) - offset, 0))
             bevy = size.chunk_size * size.per_bevy
-            return chunks.read(stored_chunks(self, stream, offset // bevy, (offset + length) // bevy), stream, offset, length, size.chunk_size)
+            data = chunks.read(stored_chunks(self, stream, offset // bevy, (offset + max(length, 1) - 1) // bevy), stream, offset, length, size.chunk_size)
+            if len(data) < length:
+                raise OSError(f"{stream} lacks chunks: {len(data)} of {length} bytes at {offset}")
+            return data
         if kind == "symbolic":
             pattern = symbol(stream)
             start, length = offset % len(pattern), max(length, 0)
@@ -201,17 +204,25 @@ def export_candidates(store: DataFrame, pattern: str = "*") -> DataFrame:
     return found.select("s", F.concat_ws("/", F.when(domain("s") != "", domain("s")), escape_component(path("s"))).alias("target"))
 
 
+def legacy_entries(index: bytes) -> list[tuple[int, int]]:
+    """Offset and length of each chunk from the cumulative ends of an older index."""
+    ends = [e for (e,) in struct.iter_unpack("<I", index)]
+    return [(a, b - a) for a, b in zip([0, *ends], ends)]
+
+
 def stored_chunks(volumes: Volumes, stream: str | None = None, first: int = 0, last: int | None = None) -> DataFrame:
     """Chunks (urn, chunk_id, offset, length, payload) of image streams from their bevy and index members, or of one stream's bevies ``first`` to ``last``.
 
-    A bevy and its index meet by name; the cut and the decompression are one pass over each bevy.
+    A bevy and its index meet by name, ``.index`` or, in older containers, ``/index``, which holds 4-byte cumulative ends;
+    the cut and the decompression are one pass over each bevy. A bevy without an index, or an index without a bevy, is an error.
     """
     s = volumes.segments.select("urn", "payload")
-    bevy = F.regexp_extract("urn", r"^(.*)/([0-9]{8})(\.index)?$", 2)
-    named = s.where(bevy != "").select(F.regexp_extract("urn", r"^(.*)/([0-9]{8})(\.index)?$", 1).alias("stream"), bevy.cast("bigint").alias("bevy_id"), F.col("urn").endswith(".index").alias("is_index"), "payload")
+    pattern = r"^(.*)/([0-9]{8})([./]index)?$"
+    named = s.where(F.col("urn").rlike(pattern)).select(F.regexp_extract("urn", pattern, 1).alias("stream"), F.regexp_extract("urn", pattern, 2).cast("bigint").alias("bevy_id"), F.regexp_extract("urn", pattern, 3).alias("suffix"), "payload")
     if stream is not None:
         named = named.where((F.col("stream") == stream) & (F.col("bevy_id") >= first) & (F.col("bevy_id") <= (first if last is None else last)))
-    bevies = named.where("NOT is_index").drop("is_index").join(named.where("is_index").select("stream", "bevy_id", F.col("payload").alias("index")), ["stream", "bevy_id"])
+    indexes = named.where("suffix <> ''").select("stream", "bevy_id", F.col("payload").alias("index"), (F.col("suffix") == "/index").alias("legacy"))
+    bevies = named.where("suffix = ''").drop("suffix").join(indexes, ["stream", "bevy_id"], "full")
     bevies = bevies.join(chunks.parameters(volumes.triples).select(F.col("s").alias("stream"), "chunk_size", "per_bevy", "codec"), "stream")
 
     def run(batches):
@@ -219,8 +230,10 @@ def stored_chunks(volumes: Volumes, stream: str | None = None, first: int = 0, l
 
         for batch in batches:
             for r in batch.to_pylist():
+                if r["index"] is None or r["payload"] is None:
+                    raise OSError(f"bevy {r['bevy_id']} of {r['stream']} has no {'index' if r['index'] is None else 'data'}")
                 rows = []
-                for i, (offset, length) in enumerate(struct.iter_unpack(INDEX, r["index"])):
+                for i, (offset, length) in enumerate(legacy_entries(r["index"]) if r["legacy"] else struct.iter_unpack(INDEX, r["index"])):
                     data = r["payload"][offset : offset + length]
                     plain = data if length == r["chunk_size"] or r["codec"] == "stored" else chunks.decompress_bytes(data, r["codec"], r["chunk_size"])
                     chunk = r["bevy_id"] * r["per_bevy"] + i

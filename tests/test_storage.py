@@ -116,6 +116,27 @@ def test_maps_and_symbolic_streams_are_read_and_exported(spark, tmp_path):
     assert all((tmp_path / got[s][0]).read_bytes() == want for s in (m, f"{BASE}/memory")) and (tmp_path / got[inner][0]).read_bytes() == b"0123456789"
 
 
+def test_older_indexes_are_read_and_missing_ones_are_errors(spark):
+    parts = [TEXT[i : i + 100] for i in range(0, 600, 100)]
+    packed = [chunks.compress_bytes(p, "zlib") for p in parts]
+    members, urn = {}, f"{BASE}/old"
+    for b in range(2):
+        own = packed[3 * b : 3 * b + 3]
+        members[f"{urn}/{b:08d}"] = b"".join(own)
+        members[f"{urn}/{b:08d}/index"] = struct.pack("<3I", *(sum(map(len, own[: i + 1])) for i in range(3)))
+    meta = [(urn, TYPE, f"{NS}ImageStream", "urn"), *((s, p, o, dt) for s, p, o, dt in chunks.metadata(urn, 600, "zlib", 100, 3)[1:])]
+    v = stored(spark, members, meta)
+    assert v.read(urn, 0, 1000) == TEXT[:600] and v.read(urn, 250, 100) == TEXT[250:350]
+    for lost in ("00000001/index", "00000001"):
+        v = stored(spark, {k: d for k, d in members.items() if k != f"{urn}/{lost}"}, meta)
+        assert v.read(urn, 0, 300) == TEXT[:300]
+        with pytest.raises(Exception, match="bevy 1 of .* has no"):
+            v.read(urn, 250, 100)
+    v = stored(spark, {k: d for k, d in members.items() if "00000001" not in k}, meta)
+    with pytest.raises(OSError, match="lacks chunks"):
+        v.read(urn, 250, 100)
+
+
 def test_directory_volume(spark, tmp_path):
     rows = spark.createDataFrame([("Foobar.txt", b"Hello world"), ("a:b/c", b"x")], "member string, payload binary")
     files.write_directory(rows, str(tmp_path / "d"))
