@@ -1,7 +1,7 @@
 """Sharding by longest processing time: groups of equal texts, largest first, go to the least-loaded shard.
 
-Groups are counted by size. The number of sizes is bounded (all up to EXACT, then STEPS to each doubling), so the heap
-runs on the driver over sizes, whatever the number of groups: items of one size meet the shards in cycles, and a cycle
+Groups are counted by size, in exact bytes. The heap runs on the driver over the distinct sizes, whatever the number of
+groups: there are at most EXACT sizes up to EXACT bytes, and at most total bytes / EXACT groups beyond. Items of one size meet the shards in cycles, and a cycle
 is planned at once. Groups take their shards from the plan by their rank within their size.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.textops import shared_checkpoints
 
-#: Sizes up to EXACT bytes are kept apart; larger ones differ by 1/STEPS of a doubling, under 0.07 %.
+#: Sizes on both sides of EXACT are exact; it only bounds their number. Nothing is rounded to STEPS any more; a test sets both.
 EXACT, STEPS = 1 << 20, 1024
 
 
@@ -48,10 +48,9 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     shared_checkpoints(spark)
     text = F.coalesce("text", F.lit("")).cast("binary")
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.sha2(text, 256).alias("key")).checkpoint()
-    big = (F.floor((F.log2("bytes") - 20) * STEPS) + EXACT + 1).cast("long")
-    groups = rows.groupBy("key").agg(F.sum("size").alias("bytes")).withColumn("kind", F.when(F.col("bytes") <= EXACT, F.col("bytes")).otherwise(big)).withColumn("salt", F.substring("key", 1, 2)).checkpoint()
+    groups = rows.groupBy("key").agg(F.sum("size").alias("kind")).withColumn("salt", F.substring("key", 1, 2)).checkpoint()
     counted = groups.groupBy("kind", "salt").agg(F.count("*").alias("n"))
-    sizes = [(r.kind, r.kind if r.kind <= EXACT else int(2 ** (20 + (r.kind - EXACT - 0.5) / STEPS)), r.n) for r in counted.groupBy("kind").agg(F.sum("n").alias("n")).orderBy(F.desc("kind")).collect()]
+    sizes = [(r.kind, r.kind, r.n) for r in counted.groupBy("kind").agg(F.sum("n").alias("n")).orderBy(F.desc("kind")).collect()]
     runs = spark.createDataFrame(plan(sizes, shards), "kind bigint, start bigint, length bigint, turn array<int>")
     before = F.sum("n").over(Window.partitionBy("kind").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     ranked = groups.withColumn("r", F.row_number().over(Window.partitionBy("kind", "salt").orderBy("key"))).join(counted.select("kind", "salt", F.coalesce(before, F.lit(0)).alias("before")), ["kind", "salt"])

@@ -105,3 +105,14 @@ def test_very_large_groups_keep_their_bytes(spark, monkeypatch):
     got = sharding.shard(rows, 4).collect()
     assert len(got) == 300
     check_shards(got, rows.collect(), 4)
+
+
+def test_groups_over_a_mebibyte_follow_the_exact_heap(spark):
+    size = lambda i: (1 << 20) + i * 37 % 700
+    rows = spark.range(40).selectExpr("id AS doc_id", "concat(repeat('y', CAST(1048576 + id * 37 % 700 AS INT)), '-', id) AS text")
+    texts = [f"{'y' * size(i)}-{i}".encode() for i in range(40)]
+    loads, want = [0] * 4, {}
+    for n, _, i in sorted((-len(t) - 1, hashlib.sha256(t).hexdigest(), i) for i, t in enumerate(texts)):
+        want[i] = loads.index(min(loads))
+        loads[want[i]] -= n
+    assert {r.doc_id: r.shard for r in sharding.shard(rows, 4).collect()} == want
