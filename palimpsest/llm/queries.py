@@ -129,27 +129,18 @@ def op8_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op8_spaced_seeds"] = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS t FROM documents),
 b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS b FROM benchmark),
-dp AS (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM d),
-bp AS (SELECT item_id, b, unnest(range(1, len(b) + 1)) AS p FROM b WHERE len(b) >= 11),
-ds AS (
-  SELECT doc_id, i, 0 AS m, concat_ws(' ', t[i], t[i + 2], t[i + 3], t[i + 6], t[i + 7], t[i + 8]) AS k FROM dp WHERE i + 8 <= len(t)
-  UNION ALL SELECT doc_id, i, 1, concat_ws(' ', t[i], t[i + 1], t[i + 2], t[i + 7], t[i + 9], t[i + 10]) FROM dp WHERE i + 10 <= len(t)
-  UNION ALL SELECT doc_id, i, 10 + n, array_to_string(t[i:i + n - 1], ' ') FROM dp, (SELECT DISTINCT len(b) AS n FROM b WHERE len(b) BETWEEN 5 AND 10) WHERE i + n - 1 <= len(t)),
-bs AS (
-  SELECT item_id, p, 0 AS m, concat_ws(' ', b[p], b[p + 2], b[p + 3], b[p + 6], b[p + 7], b[p + 8]) AS k FROM bp WHERE p + 8 <= len(b)
-  UNION ALL SELECT item_id, p, 1, concat_ws(' ', b[p], b[p + 1], b[p + 2], b[p + 7], b[p + 9], b[p + 10]) FROM bp WHERE p + 10 <= len(b)
-  UNION ALL SELECT item_id, 1, 10 + len(b), array_to_string(b, ' ') FROM b WHERE len(b) BETWEEN 5 AND 10),
-hits AS (SELECT DISTINCT doc_id, item_id, i - p AS diagonal, p FROM ds JOIN bs USING (m, k)),
-w AS (
-  SELECT h.doc_id, h.item_id, diagonal, t, b, least(len(b), 16) AS n, unnest(range(greatest(1, p - 5 + CASE WHEN len(b) < 16 THEN -20 ELSE 0 END), least(p, len(b) - least(len(b), 16) + 1) + 1)) AS s
-  FROM hits h JOIN d USING (doc_id) JOIN b USING (item_id)),
+dt AS (SELECT doc_id, len(t) AS td, unnest(t) AS w, unnest(range(1, len(t) + 1)) AS i FROM d),
+bt AS (SELECT item_id, len(b) AS tb, unnest(b) AS w, unnest(range(1, len(b) + 1)) AS p FROM b),
+same AS (SELECT DISTINCT doc_id, item_id, td, tb, least(tb, 16) AS n, i - p AS diagonal, p FROM dt JOIN bt USING (w)),
+runs AS (
+  SELECT *, greatest(1, 1 - diagonal) AS first, least(tb, td - diagonal) - n + 1 AS last,
+    count(*) OVER (PARTITION BY doc_id, item_id, td, tb, diagonal ORDER BY p RANGE BETWEEN 15 PRECEDING AND CURRENT ROW) AS upto,
+    count(*) FILTER (p < greatest(1, 1 - diagonal) + n) OVER (PARTITION BY doc_id, item_id, td, tb, diagonal) AS early
+  FROM same),
 c AS (
-  SELECT doc_id, item_id, n, diagonal + s - 1 AS start,
-    list_sum(list_transform(range(0, n), lambda k: CASE WHEN t[diagonal + s + k] = b[s + k] THEN 1 ELSE 0 END)) AS matches
-  FROM w WHERE diagonal + s >= 1 AND diagonal + s + n - 1 <= len(t)),
-r AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matches DESC, start, n DESC) AS rn FROM c
-  WHERE matches >= CASE WHEN n < 11 THEN n WHEN n = 16 THEN 13 ELSE ceil(n * 0.8) END)
+  SELECT doc_id, item_id, n, diagonal + greatest(p - n + 1, first) - 1 AS start, CASE WHEN p - n + 1 >= first THEN upto ELSE early END AS matches
+  FROM runs WHERE greatest(p - n + 1, first) <= last),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matches DESC, start, n DESC) AS rn FROM c WHERE matches >= ceil(n * 0.8))
 SELECT doc_id, item_id, CAST(matches AS INT) AS matches, CAST(n AS INT) AS "window", CAST(start AS INT) AS start FROM r WHERE rn = 1
 """
 
