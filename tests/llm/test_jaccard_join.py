@@ -77,25 +77,63 @@ def test_one_of_each_group_stays(spark):
     assert kept == {c for _, c, _, _ in brute(rows)}
 
 
-def test_depth_reaches_the_recall():
-    for threshold, recall in ((0.8, 0.999), (0.9, 0.999), (0.5, 0.9)):
-        d = jaccard_join.forest_depth(threshold, 20, 8, recall)
-        assert d == 1 or 1 - (1 - threshold**d) ** 20 >= recall
-        assert d == 8 or 1 - (1 - threshold ** (d + 1)) ** 20 < recall
+def reached(ends, threshold=0.8):
+    return 1 - np.prod(1 - threshold**ends, axis=1)
+
+
+def test_prefixes_are_shortened_until_the_recall():
+    levels = jaccard_join.DEEPEST - jaccard_join.SHALLOWEST + 1
+    for threshold, recall in ((0.8, 0.999), (0.8, 0.9995), (0.9, 0.999), (0.7, 0.9)):
+        ends = jaccard_join.shorten(np.ones((3, 20, levels), np.int64), threshold, recall)
+        assert (ends == ends[0]).all() and np.ptp(ends[0]) <= 1 and reached(ends, threshold).min() >= min(recall, 1 - (1 - threshold**jaccard_join.SHALLOWEST) ** 20)
+        longer = ends.copy()  # one step less would not reach it
+        longer[:, ends[0].argmin()] += 1
+        assert (ends == jaccard_join.DEEPEST).all() or reached(longer, threshold).max() < recall
+
+
+def test_crowded_prefixes_stay_long():
+    sizes = np.ones((1, 20, jaccard_join.DEEPEST - jaccard_join.SHALLOWEST + 1), np.int64)
+    sizes[0, :5] = [90_000, 40_000, 20_000, 9_000, 4_000]
+    ends = jaccard_join.shorten(sizes, 0.8, 0.999)[0]
+    assert ends[:5].min() > ends[5:].max() and reached(ends[None])[0] >= 0.999
 
 
 def test_recall_of_pairs_at_the_threshold():
     """Pairs just above 0.8 meet in some tree nearly always."""
     r = np.random.default_rng(0)
-    depth, trees, met = jaccard_join.forest_depth(), jaccard_join.TREES, 0
+    trees, deepest, met = jaccard_join.TREES, jaccard_join.DEEPEST, 0
+    ends = jaccard_join.shorten(np.ones((1, trees, deepest - jaccard_join.SHALLOWEST + 1), np.int64))[0]
     for _ in range(400):
         common, a, b = (np.sort(r.integers(0, 2**63, n).astype(np.uint64)) for n in (164, 20, 20))
         sets = [np.sort(np.r_[common, x]) for x in (a, b)]
-        s = jaccard_join.signatures(np.concatenate(sets), np.array([0, 184, 368]), trees * depth).reshape(2, trees, depth)
-        met += bool((s[0] == s[1]).all(1).any())
+        s = jaccard_join.signatures(np.concatenate(sets), np.array([0, 184, 368]), trees * deepest).reshape(2, trees, deepest)
+        met += bool((np.cumprod(s[0] == s[1], 1).sum(1) >= ends).any())
     assert met >= 398
 
 
+def chain(n, step=8, length=100):
+    """Texts of which only neighbours are similar: each has dropped the first words of the one before."""
+    return [(i, " ".join(f"t{k}" for k in range(i * step, i * step + length))) for i in range(n)]
+
+
+def test_a_chain_of_templates_is_not_compared_pair_by_pair(spark):
+    rows = chain(1500)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = jaccard_join.join(docs).collect()
+    assert {r.class_id for r in got} == {0} and sorted(r.n_links for r in got) == [1, 1, *[2] * 1498]
+    own = jaccard_join.sketches(docs, 5, 160)
+    nodes = own.selectExpr("node", "doc_id AS rep", "1L AS weight", "sig")
+    sizes = [t["size"] for r in jaccard_join.members_of(nodes, 20, 0.8, jaccard_join.RECALL).collect() for t in r.tries]
+    assert sum(-(-s // jaccard_join.BLOCK) for s in sizes) < 20 * 1500 and max(sizes) < 40
+
+
+def test_texts_without_or_with_the_same_identifier(spark):
+    copy, other = "one two three four five six seven", "another text of six words here"
+    rows = [(None, copy), (None, copy), (5, copy), (5, other), (None, other), (None, "a third text that has no partner"), (7, None), (7, ""), (None, "?!")]
+    kept = sorted((tuple(r) for r in jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=repr)
+    assert kept == sorted([(5, copy), (5, other), (None, "a third text that has no partner"), (7, None), (7, ""), (None, "?!")], key=repr)
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(1000, 1060)] + [(5000, k) for k in range(4000, 4050)]
