@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.textops import shared_checkpoints
+from palimpsest.llm.textops import remove, shared_folder, written
 
 
 def keyed(df: DataFrame, column: str) -> DataFrame:
@@ -17,13 +19,14 @@ def keyed(df: DataFrame, column: str) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``root`` (the least node of its component) for every node of an edge other than the root itself.
 
-    Loops, repeated edges and either direction of an edge are allowed. Each round is written to the shared
-    checkpoint folder, so that a lost executor costs no earlier round. Rounds grow with the logarithm of the nodes.
+    Loops, repeated edges and either direction of an edge are allowed. Each round is a table in the shared folder, so
+    that a lost executor costs no earlier round; the table before it is deleted. Rounds grow with the logarithm of the nodes.
     """
-    shared_checkpoints(edges.sparkSession)
+    spark = edges.sparkSession
+    top = f"{shared_folder(spark)}/components-{uuid.uuid4().hex}"
     state = lambda df: df.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("hi", "lo")), F.lit(0))).first()
-    now = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct().checkpoint()
-    mark = state(now)
+    now = written(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct(), f"{top}/0")
+    mark, n = state(now), 0
     while mark[0]:
         both = now.union(now.select("lo", "hi")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -31,7 +34,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
         pairs = keyed(large, "hi").join(keyed(down, "hi").drop("hi"), "k")
         small = pairs.select("hi", F.col("m").alias("lo")).union(pairs.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))).distinct()
-        now = small.checkpoint()
+        n += 1
+        now = written(small, f"{top}/{n}")
+        remove(spark, f"{top}/{n - 1}")
         before, mark = mark, state(now)
         if before == mark:
             break

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import tempfile
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +22,39 @@ LETTER, NUMBER, OTHER, SPACE, WHITE = range(5)
 WHITE_SPACE = [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from ``spark.checkpoint.dir``. Only a local session may go without: it gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if spark not in LOCAL:
+        LOCAL[spark] = tempfile.mkdtemp(prefix="shared-")
+    return LOCAL[spark]
+
+
+#: Temporary folders of local sessions.
+LOCAL: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Make sure that reliable checkpoints have a folder: the cluster's, or a temporary one where none is named."""
+    """Make sure that reliable checkpoints have a folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        sc.setCheckpointDir(shared_folder(spark))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in any file system that Spark writes to; a missing one is no error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as a Parquet table. Unlike a checkpoint it carries no constraints over to later plans, whose number multiplies in a loop."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def crc_mod(column: str, modulus: int) -> F.Column:
