@@ -279,7 +279,11 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", offsets: str = "off
 
 
 def digests(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of each document's round trip."""
+    """``doc_id``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of each document's round trip.
+
+    A null or empty text has no tokens and the digests of nothing. Repeated rows are alike, a null doc_id is kept, an
+    empty table gives no rows; further columns are not read.
+    """
     both = decode(encode(docs, ranks_path), ranks_path)
     return both.select(
         "doc_id",

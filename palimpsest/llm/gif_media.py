@@ -244,36 +244,49 @@ FRAMES = "array<struct<start_ms: bigint, delay_ms: int, x: int, y: int, width: i
 
 
 def frames(df: DataFrame, media: str = "media") -> DataFrame:
-    """All columns of ``df``, with ``payload`` (samples of all frames in order) and ``frames``; null media give nulls.
+    """The columns of ``df``, with ``payload`` (samples of all frames in order), ``frames`` and ``media_error``.
 
-    Rows are handled one by one, so repeated rows are alike; an empty table stays empty. ``media`` that is no GIF fails.
+    Null media give nulls; media that can't be decoded give nulls and the reason. Rows are handled one by one, so repeated
+    rows are alike; an empty table stays empty; columns of ``df`` with the names of new ones are replaced.
     """
+    df = df.drop("payload", "frames", "media_error")
     names = df.columns
     at = names.index(media)
     fields = ["start_ms", "delay_ms", "x", "y", "width", "height", "disposal", "histogram"]
     kind = pa.list_(pa.struct([("start_ms", pa.int64()), *((f, pa.int32()) for f in fields[1:7]), ("histogram", pa.list_(pa.int64()))]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        payloads, lists = [], []
+        payloads, lists, errors = [], [], []
         for m in batch.column(at).to_pylist():
-            if m is None:
+            found, error = None, None
+            if m is not None:
+                try:
+                    found = decode(m)
+                except (ValueError, IndexError, struct.error) as e:  # damaged media are errors of their own row
+                    error = str(e) or type(e).__name__
+            errors.append(error)
+            if found is None:
                 payloads.append(None)
                 lists.append(None)
                 continue
-            found, start, rows = decode(m), 0, []
+            start, rows = 0, []
             for f in found:
                 rows.append(dict(zip(fields, (start, f.delay_ms, f.x, f.y, f.width, f.height, f.disposal, f.histogram.tolist()))))
                 start += f.delay_ms
             payloads.append(b"".join(f.samples for f in found))
             lists.append(rows)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(payloads, pa.binary()), pa.array(lists, kind)], [*names, "payload", "frames"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(payloads, pa.binary()), pa.array(lists, kind), pa.array(errors, pa.string())], [*names, "payload", "frames", "media_error"])
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return map_arrow(df, run, f"{own}, payload binary, frames {FRAMES}")
+    return map_arrow(df, run, f"{own}, payload binary, frames {FRAMES}, media_error string")
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """What the media query returns of each document; ``feature``: number of frames, duration and histogram over all frames."""
+    """What the media query returns of each document; ``feature``: number of frames, duration and histogram over all frames.
+
+    A null or empty text is stored as 192 spaces. Repeated rows are alike, a null doc_id is kept, an empty table gives no
+    rows; further columns are not read.
+    """
     histogram = F.aggregate("frames", F.array_repeat(F.lit(0).cast("bigint"), COLOUR_BINS), lambda acc, f: F.zip_with(acc, f["histogram"], lambda a, b: a + b))
     duration = F.aggregate("frames", F.lit(0).cast("bigint"), lambda acc, f: acc + f["delay_ms"])
     return frames(store(docs)).select(
@@ -286,5 +299,3 @@ def digests(docs: DataFrame) -> DataFrame:
         F.sha2("media", 256).alias("media_sha256"),
         F.concat_ws(";", F.size("frames").cast("string"), duration.cast("string"), F.concat_ws(",", histogram.cast("array<string>"))).alias("feature"),
     )
-
-

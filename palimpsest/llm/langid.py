@@ -1,7 +1,8 @@
 """Language identification by bit-sliced Bloom filters over character n-grams.
 
-One table of 64-bit words holds up to 64 Bloom filters: bit l of a word belongs to language l. The AND of the words
-that an n-gram's hashes address is a mask of all languages that contain it. A text's languages are counted bit by bit
+One table of 64-bit words holds a Bloom filter for each language: bit l of a row belongs to language l, and a row has as
+many words as the languages need. The AND of the rows that an n-gram's hashes address is a mask of all languages that
+contain it. A text's languages are counted bit by bit
 over its n-grams, the expected false positives of each filter are taken off, and the largest count decides.
 """
 
@@ -16,12 +17,12 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.textops import LETTER, bounded_sample, class_table, crc_mod, joined_codepoints, map_arrow, mix, texts_of
 
-#: Documents that the filters are fitted on, at most, and n-grams (of all languages together) that are looked at.
-MAX_TRAIN, MAX_NGRAMS = 20_000, 200_000
+#: Documents that the filters are fitted on, at most (a sample by hash of doc_id).
+MAX_TRAIN = 20_000
 ORDERS = (1, 2, 3)
 ROWS, HASHES = 1 << 18, 3
-#: A language contains an n-gram that makes up this share of its n-grams of that order, and this share of the largest such share.
-LEAST_SHARE, OF_LARGEST = 2e-5, 0.25
+#: A language contains an n-gram that makes up this share of its n-grams of that order: 1 / LEAST_SHARE n-grams at most.
+LEAST_SHARE = 2e-5
 UNDETERMINED = "und"
 BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
 
@@ -69,21 +70,23 @@ class LanguageFilters:
     @classmethod
     def build(cls, members: dict[str, np.ndarray]) -> LanguageFilters:
         languages = sorted(members)
-        if len(languages) > 64:
-            raise ValueError("one table holds the filters of at most 64 languages")
-        table = np.zeros(ROWS, np.uint64)
+        table = np.zeros((ROWS, max(1, -(-len(languages) // 64))), np.uint64)
         for bit, lang in enumerate(languages):
             for rows in cls.rows_of(members[lang]):
-                table[np.unique(rows)] |= np.uint64(1 << bit)
-        fill = np.array([((table >> np.uint64(b)) & np.uint64(1)).mean() for b in range(len(languages))])
+                table[np.unique(rows), bit // 64] |= np.uint64(1 << bit % 64)
+        return cls.of_table(languages, table)
+
+    @classmethod
+    def of_table(cls, languages: list[str], table: np.ndarray) -> LanguageFilters:
+        fill = np.array([((table[:, b // 64] >> np.uint64(b % 64)) & np.uint64(1)).mean() for b in range(len(languages))])
         return cls(languages, table, fill**HASHES)
 
     def masks(self, h: np.ndarray) -> np.ndarray:
-        """All languages that contain each n-gram, as bits."""
+        """All languages that contain each n-gram, as bits of one or more words."""
         a, *more = self.rows_of(h)
         out = self.table[a]
         for rows in more:
-            out = out & self.table[rows]
+            out &= self.table[rows]
         return out
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -97,7 +100,7 @@ class LanguageFilters:
             masks = self.masks(h)
             total += np.bincount(doc, minlength=n)
             for low in range(0, k, 8):  # eight languages at a time: texts by byte of the mask, then by bit
-                byte = ((masks >> np.uint64(low)) & np.uint64(255)).astype(np.int64)
+                byte = ((masks[:, low // 64] >> np.uint64(low % 64)) & np.uint64(255)).astype(np.int64)
                 by_byte = np.bincount(doc * 256 + byte, minlength=n * 256).reshape(n, 256)
                 counts[:, low : low + 8] += (by_byte @ BITS)[:, : k - low]
         counts = np.maximum(counts - total[:, None] * self.false_positive, 0) / (1 - np.minimum(self.false_positive, 0.999))
@@ -109,7 +112,9 @@ class LanguageFilters:
 def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> LanguageFilters:
     """Learn from text and lang of documents with a lang whose crc32(doc_id) mod 3 is not 1.
 
-    Collected: at most MAX_NGRAMS counted n-grams. Without such documents there is no language, and all texts are ``und``.
+    Which n-grams a language contains is decided for each language alone, by their shares, and the filters' bits are
+    set by an aggregation. Collected: the names of the languages, and ROWS rows of the table for each 64 of them.
+    Without such documents there is no language, and all texts are ``und``.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", 3) != 1)).select("doc_id", "lang", "text")
     known = bounded_sample(known, "doc_id", max_train).select("lang", "text")
@@ -125,12 +130,21 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> LanguageFilters:
         return pa.concat_tables(out) if out else pa.table([pa.array([], pa.string()), pa.array([], pa.int32()), pa.array([], pa.int64()), pa.array([], pa.int64())], ["lang", "ord", "ngram", "n"])
 
     counts = map_arrow(known, run, "lang string, ord int, ngram bigint, n bigint").groupBy("lang", "ord", "ngram").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "lang", "ord", "ngram").limit(MAX_NGRAMS).toPandas()
-    if rows.empty:
-        return LanguageFilters([], np.zeros(ROWS, np.uint64), np.zeros(0))
-    rows["share"] = rows["n"] / rows.groupby(["lang", "ord"])["n"].transform("sum")
-    rows = rows[(rows["share"] >= LEAST_SHARE) & (rows["share"] >= OF_LARGEST * rows.groupby("ngram")["share"].transform("max"))]
-    return LanguageFilters.build({lang: group["ngram"].to_numpy().view(np.uint64) for lang, group in rows.groupby("lang")})
+    counts = counts.persist()
+    try:
+        totals = counts.groupBy("lang", "ord").agg(F.sum("n").alias("total")).collect()  # a row for each language and order
+        languages = sorted({r.lang for r in totals})
+        if not languages:
+            return LanguageFilters([], np.zeros((ROWS, 1), np.uint64), np.zeros(0))
+        known = docs.sparkSession.createDataFrame([(r.lang, r.ord, r.total, languages.index(r.lang)) for r in totals], "lang string, ord int, total bigint, bit int")
+        own = counts.join(F.broadcast(known), ["lang", "ord"]).where(F.col("n") >= F.col("total") * LEAST_SHARE)
+        places = F.array(*[F.shiftrightunsigned("ngram", 20 * i).bitwiseAND(ROWS - 1) for i in range(HASHES)])
+        words = own.select(F.explode(places).alias("row"), F.expr("bit DIV 64").alias("word"), F.expr("shiftleft(1L, bit % 64)").alias("flag")).groupBy("row", "word").agg(F.bit_or("flag").alias("flags")).toArrow()
+    finally:
+        counts.unpersist()
+    table = np.zeros((ROWS, -(-len(languages) // 64)), np.uint64)
+    table[words["row"].to_numpy(), words["word"].to_numpy()] = words["flags"].to_numpy().view(np.uint64)
+    return LanguageFilters.of_table(languages, table)
 
 
 def identify(docs: DataFrame, filters: LanguageFilters, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -147,5 +161,10 @@ def identify(docs: DataFrame, filters: LanguageFilters, text: str = "text", key:
 
 
 def classify(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``held_out``, ``lang_pred`` and ``score`` of each document."""
+    """``doc_id``, ``held_out``, ``lang_pred`` and ``score`` of each document.
+
+    Texts that are null or have no letter are ``und`` with score 0. Repeated rows are alike, and count as often as they
+    occur when the filters are learnt. A null doc_id is predicted and learnt like any other. Of languages with equal
+    counts the first by name wins. An empty table gives no rows; further columns are not read.
+    """
     return identify(docs, train(docs)).select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")

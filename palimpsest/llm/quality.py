@@ -215,12 +215,21 @@ def score(docs: DataFrame, model: AdditiveModel, text: str = "text", key: str =
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id``, ``held_out``, ``score`` and ``predicted`` of each document."""
+    """``doc_id``, ``held_out``, ``score`` and ``predicted`` of each document.
+
+    Null and empty texts score as texts with all features 0. A null doc_id is scored, and never a label's. Repeated rows
+    score alike. Without labels every score is 0.5, with labels of one class near that class. An empty table gives no
+    rows; further columns are not read.
+    """
     return score(docs, train(docs, labels)).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= REJECT_BELOW).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents (all columns) that score REJECT_BELOW or more."""
+    """The documents (all columns) that score REJECT_BELOW or more.
+
+    Null and empty texts are scored like others, repeated rows stay or go together, columns of any name and rows without
+    doc_id pass through, an empty table stays empty.
+    """
     model, at = train(docs, labels), docs.columns.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -116,7 +116,7 @@ heap AS (
   SELECT g.rn, list_transform(loads, lambda x, i: x + CASE WHEN i = p THEN bytes ELSE 0 END), p - 1
   FROM (SELECT rn, loads, list_position(loads, list_min(loads)) AS p FROM heap) h JOIN g ON g.rn = h.rn + 1)
 SELECT doc_id, size, text_crc32, 'bytes' AS law, CAST(shard AS INT) AS shard,
-  CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id % 256, doc_id) - 1 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard
+  CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, key) - 1 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard
 FROM sized JOIN g USING (key) JOIN heap USING (rn)
 """
 

@@ -1,8 +1,8 @@
 """Sharding by longest processing time: groups of equal texts, largest first, go to the least-loaded shard.
 
 Groups are counted by size, in exact bytes. The heap runs on the driver over the distinct sizes, whatever the number of
-groups: there are at most EXACT sizes up to EXACT bytes, and at most total bytes / EXACT groups beyond. Items of one size meet the shards in cycles, and a cycle
-is planned at once. Groups take their shards from the plan by their rank within their size.
+groups: a million sizes up to 1 MiB at most, and no more than there are MiB of input beyond. Items of one size meet the
+shards in cycles, and a cycle is planned at once. Groups take their shards from the plan by their rank within their size.
 """
 
 from __future__ import annotations
@@ -12,10 +12,6 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.textops import shared_checkpoints
 
-#: Sizes on both sides of EXACT are exact; it only bounds their number. Nothing is rounded to STEPS any more; a test sets both.
-EXACT, STEPS = 1 << 20, 1024
-
-
 def plan(sizes: list[tuple[int, int, int]], shards: int) -> list[tuple[int, int, int, list[int]]]:
     """From (class, size, count), largest size first: runs of (class, first rank, length, shards in turn).
 
@@ -41,8 +37,8 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     """``doc_id``, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot`` and ``grown_shard`` (null) of each row.
 
     Law ``bytes``: the shards' sums of sizes are as near equal as LPT gets them. A null text counts as empty. Equal
-    texts share a shard. Groups of one size go by their SHA-256. Slots follow (doc_id mod 256, doc_id); repeated rows
-    have slots of their own in any order. A null doc_id counts as 0 there. An empty table gives no rows.
+    texts share a shard. Groups of one size go by their SHA-256. Slots follow (doc_id, SHA-256), null doc_ids first;
+    repeated rows have slots of their own in any order. An empty table gives no rows; further columns are not read.
     """
     spark = docs.sparkSession
     shared_checkpoints(spark)
@@ -60,10 +56,13 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
 
 
 def with_slots(rows: DataFrame) -> DataFrame:
-    """Adds gapless ``slot`` numbers within ``shard``: 256 parts of each shard are numbered apart, then moved by the parts before."""
-    part = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(256))
-    rows = rows.withColumn("part", part)
-    counted = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
+    """Adds gapless ``slot`` numbers within ``shard``, in order of (doc_id, key).
+
+    Rows are dealt by range, so that every part is as large as a task's share whatever the identifiers are; parts are
+    numbered apart and moved by the parts before. The dealt rows are kept, as parts must not change if a task runs again.
+    """
+    dealt = rows.repartitionByRange("shard", "doc_id", "key").withColumn("part", F.spark_partition_id()).checkpoint()
+    counted = dealt.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     own = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "key"))
-    return rows.withColumn("own", own).join(counted.select("shard", "part", F.coalesce(before, F.lit(0)).alias("before")), ["shard", "part"]).withColumn("slot", (F.col("before") + F.col("own") - 1).cast("long"))
+    return dealt.withColumn("own", own).join(counted.select("shard", "part", F.coalesce(before, F.lit(0)).alias("before")), ["shard", "part"]).withColumn("slot", (F.col("before") + F.col("own") - 1).cast("long"))

@@ -7,25 +7,32 @@ type, which keeps the fields of objects sorted.
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.textops import shared_checkpoints
+from palimpsest.llm.textops import remove, shared_folder, written
 
 #: JSON types and the variant types that satisfy them.
-KINDS = {"string": r"^STRING$", "integer": r"^BIGINT$", "number": r"^(BIGINT|DOUBLE|DECIMAL.*)$", "boolean": r"^BOOLEAN$", "object": r"^OBJECT.*", "array": r"^ARRAY.*"}
+KINDS = {"string": r"^STRING$", "integer": r"^(BIGINT|DECIMAL\(\d+,0\))$", "number": r"^(BIGINT|DOUBLE|DECIMAL.*)$", "boolean": r"^BOOLEAN$", "object": r"^OBJECT.*", "array": r"^ARRAY.*"}
+
 
+def canonical(text: Column) -> Column:
+    """Canonical JSON of a JSON text; null if it is not valid JSON, or names a key of an object twice.
 
-def canonical(json: Column) -> Column:
-    """Canonical JSON of a JSON text; null if it is not valid JSON."""
-    return F.to_json(F.try_parse_json(json))
+    Numbers have the form of their value: ``1.0`` is ``1``, ``1e2`` is ``100.0``.
+    """
+    return F.to_json(F.try_parse_json(text))
 
 
 def violations(name: Column, arguments: Column, schemas: dict[str, dict]) -> Column:
     """What is wrong with a call's arguments (JSON text), as an array of strings in a fixed order; empty if nothing.
 
-    A schema is a JSON Schema of an object: ``properties`` with ``type``, ``minLength`` and ``maxLength``, ``required``,
-    and ``additionalProperties`` (true if absent). Schemas are parameters of the query, compiled into one expression.
+    A schema is a JSON Schema of an object: ``properties`` with ``type`` (any if absent), ``enum``, ``minLength``,
+    ``maxLength``, ``pattern``, ``minimum`` and ``maximum``, ``required``, and ``additionalProperties`` (true if absent).
+    Integers are numbers without a fraction, of up to 38 digits. Schemas are parameters of the query, compiled into one expression.
     """
     parsed = F.try_parse_json(arguments)
     is_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
@@ -36,13 +43,23 @@ def violations(name: Column, arguments: Column, schemas: dict[str, dict]) -> Col
         properties = schema.get("properties", {})
         for field in sorted(properties):
             rule, has = properties[field], F.array_contains(keys, field)
-            value = F.variant_get(parsed, f"$.{field}", "variant")
-            kind = F.schema_of_variant(value)
-            right = F.coalesce(kind.rlike(KINDS[rule["type"]]), F.lit(False))
+            at = f'$["{field}"]' if "'" in field else f"$['{field}']"
+            value = F.variant_get(parsed, at, "variant")
+            right = F.coalesce(F.schema_of_variant(value).rlike(KINDS[rule["type"]]), F.lit(False)) if "type" in rule else F.lit(True)
             if field in schema.get("required", ()):
                 checks.append(F.when(~has, f"{field}: missing"))
-            checks.append(F.when(has & ~right, f"{field}: not {rule['type']}"))
-            length = F.char_length(F.try_variant_get(parsed, f"$.{field}", "string"))
+            checks.append(F.when(has & ~right, f"{field}: not {rule.get('type')}"))
+            text, number = F.try_variant_get(parsed, at, "string"), F.try_variant_get(parsed, at, "double")
+            length = F.char_length(text)
+            if "enum" in rule:
+                allowed = [json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for x in rule["enum"]]
+                checks.append(F.when(has & ~F.coalesce(F.to_json(value).isin(allowed), F.lit(False)), f"{field}: not one of those allowed"))
+            if "pattern" in rule:
+                checks.append(F.when(has & right & ~text.rlike(rule["pattern"]), f"{field}: not of the pattern"))
+            if "minimum" in rule:
+                checks.append(F.when(has & right & (number < rule["minimum"]), f"{field}: too small"))
+            if "maximum" in rule:
+                checks.append(F.when(has & right & (number > rule["maximum"]), f"{field}: too large"))
             if "minLength" in rule:
                 checks.append(F.when(has & right & (length < rule["minLength"]), f"{field}: too short"))
             if "maxLength" in rule:
@@ -55,35 +72,34 @@ def violations(name: Column, arguments: Column, schemas: dict[str, dict]) -> Col
     return out
 
 
-def topological(calls: DataFrame, rounds: int = 64) -> DataFrame:
+def topological(calls: DataFrame) -> DataFrame:
     """Adds ``position`` (gapless from 0 in each conversation; null on a cycle) to calls with conv_id, turn, call_id, after.
 
     ``after`` lists the calls that a call depends on. Where they all come earlier by turn, the order of turns is
     topological. Only conversations with a dependency on the same or a later turn are peeled in rounds, each of which
-    takes the calls without an open dependency; what remains when no call is free lies on or behind a cycle. More
-    than ``rounds`` levels of such a conversation stop with an error rather than with a wrong order. Unknown
-    identifiers are no dependencies. Positions of long conversations are counted in parts of 256 turns.
+    takes the calls without an open dependency, whatever the number of levels; what remains when no call is free lies on
+    or behind a cycle. Each round is a table in the shared folder. Unknown identifiers are no dependencies. Positions of long conversations are counted in parts of 256 turns.
     """
     edges = calls.select("conv_id", "turn", "call_id", F.explode("after").alias("dep")).where("call_id IS NOT NULL").distinct()
     known = calls.where("call_id IS NOT NULL").groupBy("conv_id", F.col("call_id").alias("dep")).agg(F.min("turn").alias("dep_turn"))
     edges = edges.join(known, ["conv_id", "dep"])
     late = edges.where("dep_turn >= turn").select("conv_id").distinct()
-    level = None
     if not late.isEmpty():
-        shared_checkpoints(calls.sparkSession)
-        open_edges = edges.join(late, "conv_id", "left_semi").select("conv_id", "call_id", "dep").distinct().checkpoint()
-        todo = calls.join(late, "conv_id", "left_semi").where("call_id IS NOT NULL").select("conv_id", "call_id").distinct().checkpoint()
-        for i in range(rounds + 1):
-            free = todo.join(open_edges, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(i)).checkpoint()
+        spark, top = calls.sparkSession, f"{shared_folder(calls.sparkSession)}/levels-{uuid.uuid4().hex}"
+        open_edges = written(edges.join(late, "conv_id", "left_semi").select("conv_id", "call_id", "dep").distinct(), f"{top}/edges-0")
+        todo = written(calls.join(late, "conv_id", "left_semi").where("call_id IS NOT NULL").select("conv_id", "call_id").distinct(), f"{top}/todo-0")
+        i = 0
+        while True:
+            free = written(todo.join(open_edges, ["conv_id", "call_id"], "left_anti"), f"{top}/levels/level={i}")
             if free.isEmpty():
                 break
-            if i == rounds:
-                raise ValueError(f"a conversation with dependencies on later turns has more than {rounds} levels")
-            level = free if level is None else level.union(free)
-            todo = todo.join(free, ["conv_id", "call_id"], "left_anti").checkpoint()
-            open_edges = open_edges.join(free.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_anti").select("conv_id", "call_id", "dep").checkpoint()
-        stuck = todo.withColumn("level", F.lit(None).cast("int"))
-        level = stuck if level is None else level.union(stuck)
+            todo = written(todo.join(free, ["conv_id", "call_id"], "left_anti"), f"{top}/todo-{i + 1}")
+            open_edges = written(open_edges.join(free.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_anti").select("conv_id", "call_id", "dep"), f"{top}/edges-{i + 1}")
+            remove(spark, f"{top}/todo-{i}")
+            remove(spark, f"{top}/edges-{i}")
+            i += 1
+        schema = todo.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ").replace(",", ", ")
+        level = spark.read.schema(f"{schema}, level int").parquet(f"{top}/levels").union(todo.withColumn("level", F.lit(None).cast("int")))
         calls = calls.join(level.withColumn("peeled", F.lit(True)), ["conv_id", "call_id"], "left").withColumn("cyclic", F.coalesce("peeled", F.lit(False)) & F.col("level").isNull())
     else:
         calls = calls.withColumn("level", F.lit(0)).withColumn("cyclic", F.lit(False))

@@ -5,8 +5,8 @@
    A token scores the log-odds less Z standard deviations if that is positive; any other token scores ``-drift``.
 2. *Segments.* All maximal scoring segments of the token sequence in linear time: one pass with a stack, in which
    runs of negative tokens are single steps.
-3. *Extreme values.* With the background frequencies p of the scores, lambda solves ``sum p exp(lambda s) = 1``; a
-   segment of score S in n tokens has ``E = K n exp(-lambda S)``. The r best segments together have the sum statistic
+3. *Extreme values.* With the background frequencies p of the scores, counted over the tokens of all documents, lambda
+   solves ``sum p exp(lambda s) = 1``; K is approximated by the chance that a token opens a segment. A segment of score S in n tokens has ``E = K n exp(-lambda S)``. The r best segments together have the sum statistic
    ``lambda * (S1 + .. + Sr) - r ln(K n) + ln r!``; a document takes the largest, and a logistic curve fitted on the
    sample turns it into a probability.
 """
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.textops import Words, bounded_sample, crc_mod, map_arrow, shingle_hashes, texts_of
 
-#: Labelled documents that the model is fitted on, at most (a sample by hash of doc_id), and tokens of its lexicon.
-MAX_TRAIN, MAX_LEXICON = 20_000, 20_000
+#: Labelled documents that the model is fitted on, at most (a sample by hash of doc_id).
+MAX_TRAIN = 20_000
 #: Weight of the Dirichlet prior in documents; standard deviations taken off; fewest toxic documents of a token.
 PRIOR, Z, LEAST = 500.0, 2.0, 3
 #: Costs of a neutral token that training chooses from.
@@ -130,12 +130,13 @@ def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> ToxicModel:
     """Fit on documents with a label whose crc32(doc_id) mod 5 is not 0; without both classes, a model that rejects nothing.
 
-    Broadcast and collected: at most ``max_train`` labels, MAX_LEXICON tokens, and one statistic a labelled document.
+    Of labelled documents of one class that share a sketch, the text of least digest counts. Broadcast and collected: at
+    most ``max_train`` labels, the tokens of these documents that occur in LEAST toxic ones, and one statistic a labelled document.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", 5) != 0)).select("doc_id", (F.col("toxic") > 0).alias("toxic"))
     known = bounded_sample(known, "doc_id", max_train)
     sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("toxic", "text")
-    sample = map_arrow(sample, sketch, "toxic boolean, text string, sketch bigint").dropDuplicates(["sketch", "toxic"]).select("toxic", "text").persist()
+    sample = map_arrow(sample, sketch, "toxic boolean, text string, sketch bigint").groupBy("sketch", "toxic").agg(F.min_by("text", F.sha2("text", 256)).alias("text")).select("toxic", "text").persist()
     try:
         nt, nc = sample.agg(F.coalesce(F.sum(F.col("toxic").cast("int")), F.lit(0)), F.coalesce(F.sum((~F.col("toxic")).cast("int")), F.lit(0))).first()
         if not nt or not nc:
@@ -145,10 +146,9 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Tox
         prior = (F.col("t") + F.col("c")) * a0 / (nt + nc)
         odds = F.log((F.col("t") + prior) / (nt + a0 - F.col("t") - prior + 1)) - F.log((F.col("c") + prior) / (nc + a0 - F.col("c") - prior + 1))
         score = odds - Z * F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("c") + prior))
-        rows = counts.where(F.col("t") >= LEAST).select("token", score.alias("score"), ((F.col("c") + prior) / (nc + a0)).alias("p")).where("score > 0").orderBy(F.desc("score"), "token").limit(MAX_LEXICON).collect()
+        rows = counts.where(F.col("t") >= LEAST).select("token", score.alias("score")).where("score > 0").orderBy("token").collect()
         lexicon = {r.token % (1 << 64): r.score for r in rows}
-        tokens_per_doc = 100.0
-        p, s = np.array([r.p for r in rows]) / tokens_per_doc, np.array([r.score for r in rows])
+        p, s = background(docs, ToxicModel(lexicon))
         best = None
         for drift in DRIFTS:
             lam, k = karlin_altschul(p, s, drift)
@@ -165,6 +165,21 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Tox
         sample.unpersist()
 
 
+def background(docs: DataFrame, model: ToxicModel) -> tuple[np.ndarray, np.ndarray]:
+    """Frequency of each lexicon token among the tokens of all documents, and its score. Collected: one count for each of them."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = Words(texts_of(batch.column(0)))
+        hit, _ = model.positives(words)
+        token, n = np.unique(words.hashes[hit], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array([None, *token.view(np.int64).tolist()], pa.int64()), pa.array([len(words.starts), *n.tolist()], pa.int64())], ["token", "n"])
+
+    counts = {r.token: r.n for r in map_arrow(docs.select("text"), run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect()}
+    total = max(counts.pop(None, 0) or 0, 1)
+    p = np.array([counts.get(int(k), 0) / total for k in model.keys.view(np.int64)])
+    return p, model.values
+
+
 def statistics(sample: DataFrame, model: ToxicModel) -> tuple[np.ndarray, np.ndarray]:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         _, found = model.documents(texts_of(batch.column(1)))
@@ -233,13 +248,22 @@ def df_type(df: DataFrame, column: str) -> str:
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id``, ``held_out``, ``score``, ``predicted`` and the number of significant passages of each document."""
+    """``doc_id``, ``held_out``, ``score``, ``predicted`` and the number of significant passages of each document.
+
+    Null and empty texts score as a text without toxic tokens. A null doc_id is scored, and never a label's. Repeated rows
+    score alike, near copies among labelled documents count once. Without labels of both classes nothing, or everything if
+    all are toxic, is toxic. An empty table gives no rows; further columns are not read.
+    """
     scored = score(docs, train(docs, labels))
     return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents (all columns) that are not rejected as toxic. The text travels through the scorer; nothing is joined."""
+    """The documents (all columns) that are not rejected as toxic. The text travels through the scorer; nothing is joined.
+
+    Null and empty texts stay unless training says that all is toxic; repeated rows stay or go together; columns of any
+    name and rows without doc_id pass through; an empty table stays empty.
+    """
     model = train(docs, labels)
     names = docs.columns
     at = names.index("text")

@@ -9,22 +9,23 @@ framed by their Content-Length.
 from __future__ import annotations
 
 import gzip
-import tempfile
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.textops import PASS_BYTES, shared_checkpoints
+from palimpsest.llm.textops import PASS_BYTES, remove, shared_checkpoints, shared_folder
 
 #: Payloads of fewer bytes are stored with every record.
 LEAST_REVISIT = 1000
-#: A file holds at most this many records, and fewer where the longest payload would make it larger than FILE_BYTES.
-FILE_RECORDS, FILE_BYTES = 2000, 32 << 20
+#: Classes of records by their bytes, each with files of its own: of so many records that a file holds FILE_BYTES at most,
+#: but for records that are longer themselves.
+FILE_BYTES, CLASSES = 32 << 20, (16 << 10, 256 << 10, 4 << 20, 1 << 62)
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-READ = "page_id bigint, record_id string, record_type string, target_uri string, refers_to_id string, digest string, payload binary"
+READ = "page_id bigint, record_id string, record_type string, target_uri string, refers_to_id string, digest string, payload binary, error string"
 
 
 def record_id(page_id: Column, digest: Column) -> Column:
@@ -36,16 +37,17 @@ def record_id(page_id: Column, digest: Column) -> Column:
 def resolve(headers: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """From (page_id, digest, bytes): the rows that are revisits, as distinct (page_id, digest, original).
 
-    The original of a digest is its largest page_id. The shuffle carries headers only and counts each digest before
-    it moves; a digest with very many rows is a skewed join side, which adaptive execution splits.
+    The original of a digest is its largest page_id. The shuffle carries headers only. The join's key is the reversed
+    digest, which no grouping has dealt yet: adaptive execution can then split a digest with very many rows.
     """
-    shared = headers.where(F.col("bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = headers.where(F.col("bytes") >= least).join(shared, "digest")
+    shared = headers.where(F.col("bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1")
+    wanted = headers.where(F.col("bytes") >= least).withColumn("k", F.reverse("digest"))
+    joined = wanted.join(shared.select(F.reverse("digest").alias("k"), "original"), "k")
     return joined.where("NOT page_id <=> original").select("page_id", "digest", "original").distinct()
 
 
 def records(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", least: int = LEAST_REVISIT) -> DataFrame:
-    """A column ``value`` with one whole WARC record (without its end) for each row of page_id, url and html.
+    """Columns ``value``, with one whole WARC record (without its end) for each row of page_id, url and html, and ``bytes`` of its payload.
 
     A null html is an empty payload. Rows of the original's page_id and payload are responses, repeated ones too. A null
     page_id is never the original unless all page_ids of the payload are null, and then all its rows are responses.
@@ -72,54 +74,101 @@ def records(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", least: int = L
         F.octet_length(block).cast("string"),
         F.lit(END),
     )
-    return p.select(F.concat(head, block).alias("value"))
+    return p.select(F.concat(head, block).alias("value"), "bytes")
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    """Deduplicated archives, with fresh headers, as the gzipped files of a folder (one gzip stream a file)."""
-    longest = pages.agg(F.coalesce(F.max(F.octet_length("html")), F.lit(0))).first()[0]
-    per_file = max(1, min(FILE_RECORDS, FILE_BYTES // max(longest, 1)))
-    records(pages).write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+    """Deduplicated archives, with fresh headers, as the gzipped files of a folder (one gzip stream a file).
+
+    Records are written in classes of their payload's size, so that one long page makes no small files of the others.
+    """
+    def kind(size) -> Column:
+        out = F.lit(len(CLASSES) - 1)
+        for i, most in reversed(list(enumerate(CLASSES[:-1]))):
+            out = F.when(size <= most, i).otherwise(out)
+        return out
+
+    found = records(pages)
+    present = pages.select(kind(F.coalesce(F.octet_length("html"), F.lit(0))).alias("kind")).distinct().orderBy("kind").collect()
+    for i in [r[0] for r in present] or [0]:
+        per_file = max(1, FILE_BYTES // CLASSES[i])
+        found.where(kind(F.col("bytes")) == i).select("value").write.mode("append").option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+
+
+def unpacked(content: bytes) -> tuple[bytes, str | None]:
+    """An archive's bytes, and what is wrong with its gzip stream (then as far as it could be read)."""
+    if content[:2] != b"\x1f\x8b":
+        return content, None
+    try:
+        return gzip.decompress(content), None
+    except (OSError, EOFError, zlib.error) as e:
+        try:
+            return zlib.decompressobj(31).decompress(content), f"gzip: {e}"
+        except zlib.error:
+            return b"", f"gzip: {e}"
 
 
 def parse(content: bytes):
-    """The records of one archive, in order: (header fields with lower-case names, block)."""
+    """The records of one archive, in order: (header fields with lower-case names, block, error).
+
+    A record that can't be framed has its error in place of a block, and reading goes on at the next record's first line.
+    """
     at = 0
     while at < len(content):
-        end = content.index(b"\r\n\r\n", at)
-        first, *lines = content[at:end].decode().split("\r\n")
-        if not first.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        fields = {name.lower(): value.strip() for name, _, value in (x.partition(":") for x in lines)}
-        start = end + 4
-        stop = start + int(fields["content-length"])
-        if content[stop : stop + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} doesn't end where its length says")
-        yield fields, content[start:stop]
-        at = stop + 4
+        fields, block, error, after = {}, b"", None, -1
+        end = content.find(b"\r\n\r\n", at)
+        first, *lines = content[at : end if end >= 0 else len(content)].decode("utf-8", "replace").split("\r\n")
+        if end < 0 or not first.startswith("WARC/"):
+            error = f"no WARC record at byte {at}"
+        else:
+            fields = {name.strip().lower(): value.strip() for name, _, value in (x.partition(":") for x in lines)}
+            length = fields.get("content-length", "")
+            start = end + 4
+            stop = start + int(length) if length.isdecimal() else -1
+            if stop < 0 or content[stop : stop + 4] != b"\r\n\r\n":
+                error = f"the record at byte {at} doesn't end where its length says"
+            else:
+                block, after = content[start:stop], stop + 4
+        yield fields, block, error
+        if error:
+            following = content.find(b"\r\n\r\nWARC/", at + 1)
+            after = following + 4 if following >= 0 else len(content)
+        at = after
+
+
+def record(fields: dict[str, str], block: bytes, error: str | None) -> tuple:
+    """A row of READ. A record of another type than response and revisit has its block as payload."""
+    kind, page = fields.get("warc-type"), fields.get("x-page-id", "")
+    if not error and (kind is None or "warc-record-id" not in fields):
+        error = "no type or no identifier"
+    payload = None if error or kind == "revisit" else block.partition(b"\r\n\r\n")[2] if kind == "response" else block
+    number = int(page) if page.lstrip("-").isdecimal() else None
+    return number, fields.get("warc-record-id"), kind, fields.get("warc-target-uri"), fields.get("warc-refers-to"), fields.get("warc-payload-digest", "").removeprefix("sha1:") or None, payload, error
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each record of a folder's archives; ``payload`` is what follows the HTTP header, null for a revisit."""
+    """One row for each record of a folder's archives; ``payload`` is what follows the HTTP header, null for a revisit.
+
+    What can't be read is a row with an ``error`` and no payload; the other records of its file are read all the same.
+    """
 
     def rows(batches):
         for batch in batches:
             for content in batch.column(0):
+                data, broken = unpacked(content.as_py())
                 held, size = [], 0
-                data = content.as_py()
-                for f, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
-                    revisit = f["warc-type"] == "revisit"
-                    payload = None if revisit else block.partition(b"\r\n\r\n")[2]
-                    page = f.get("x-page-id")
-                    held.append((None if page is None else int(page), f["warc-record-id"], f["warc-type"], f.get("warc-target-uri"), f.get("warc-refers-to"), f["warc-payload-digest"].removeprefix("sha1:"), payload))
-                    size += len(payload or b"")
+                for found in parse(data):
+                    held.append(record(*found))
+                    size += len(found[1])
                     if size >= PASS_BYTES:
                         yield table(held)
                         held, size = [], 0
+                if broken:
+                    held.append((*[None] * 7, broken))
                 if held:
                     yield table(held)
 
-    kinds = [pa.int64(), *[pa.string()] * 5, pa.binary()]
+    kinds = [pa.int64(), *[pa.string()] * 5, pa.binary(), pa.string()]
     names = [x.split()[0] for x in READ.split(", ")]
     table = lambda held: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names)
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, READ)
@@ -128,21 +177,22 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def resolved(archive: DataFrame) -> DataFrame:
     """Per record page_id, payload_bytes, payload_digest (both from stored payloads), record_type and refers_to.
 
-    A revisit is joined to the response that it refers to; one whose response is missing has nulls. The archives are
-    read once: headers and digests go to the checkpoint folder, payloads stay behind.
+    A revisit is joined to the response that it refers to; one whose response is missing has nulls. Records with an
+    error are left out. The archives are read once: headers and digests go to the checkpoint folder, payloads stay behind.
     """
     shared_checkpoints(archive.sparkSession)
-    read = archive.select("page_id", "record_id", "record_type", "refers_to_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest")).checkpoint()
+    read = archive.where("error IS NULL").select("page_id", "record_id", "record_type", "refers_to_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest")).checkpoint()
     own = read.where("record_type <> 'revisit'")
-    wanted = read.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to_id")
-    originals = own.groupBy(F.col("record_id").alias("refers_to_id")).agg(F.max("page_id").alias("refers_to"), F.first("payload_bytes").alias("payload_bytes"), F.first("payload_digest").alias("payload_digest"))
-    revisits = wanted.join(originals, "refers_to_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    wanted = read.where("record_type = 'revisit'").select("page_id", "record_type", F.reverse("refers_to_id").alias("k"))
+    originals = own.groupBy("record_id").agg(F.max("page_id").alias("refers_to"), F.first("payload_bytes").alias("payload_bytes"), F.first("payload_digest").alias("payload_digest"))
+    revisits = wanted.join(originals.withColumn("k", F.reverse("record_id")), "k", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     return own.select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("bigint").alias("refers_to")).union(revisits)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Writes archives of ``pages`` to the shared folder, reads them back and resolves their revisits."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="warc-")
-    path = f"{shared}/warc-{uuid.uuid4().hex}"
+    """Writes archives of ``pages`` to the shared folder, reads them back, resolves their revisits and deletes the archives."""
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path)
-    return resolved(read_archives(spark, path))
+    out = resolved(read_archives(spark, path))
+    remove(spark, path)
+    return out

@@ -157,8 +157,8 @@ def test_topological_order(spark):
     rows = [(1, 0, "a", "ask", "{}", ["c"]), (1, 1, "b", "ask", "{}", ["a"]), (1, 2, "c", "ask", "{}", ["gone"]), (2, 0, "a", "ask", "{}", ["b"]), (2, 1, "b", "ask", "{}", ["a"]), (2, 2, "d", "ask", "{}", []), (3, 300, "x", "ask", "{}", None), (3, 9, "y", "ask", "{}", []), (5, 0, None, "ask", "{}", ["q"])]
     got = {(r.conv_id, r.call_id): r.position for r in t6.topological(spark.createDataFrame(rows, CALLS)).collect()}
     assert got == {(1, "c"): 0, (1, "a"): 1, (1, "b"): 2, (2, "a"): None, (2, "b"): None, (2, "d"): 0, (3, "y"): 0, (3, "x"): 1, (5, None): 0}
-    with pytest.raises(ValueError):
-        t6.topological(spark.createDataFrame([(1, i, f"k{i}", "ask", "{}", [f"k{i + 1}"]) for i in range(6)], CALLS), rounds=3)
+    backwards = t6.topological(spark.createDataFrame([(1, i, f"k{i}", "ask", "{}", [f"k{i + 1}"]) for i in range(7)], CALLS))
+    assert {r.turn: r.position for r in backwards.collect()} == {i: 6 - i for i in range(7)}
 
 
 def test_long_conversations_are_counted_in_parts(spark):
@@ -167,12 +167,14 @@ def test_long_conversations_are_counted_in_parts(spark):
     assert all(r.position == r.turn for r in got) and len(got) == 1000
 
 
-SCHEMA = {"f": {"properties": {"n": {"type": "integer"}, "s": {"type": "string", "maxLength": 3}, "x": {"type": "number"}, "o": {"type": "object"}, "l": {"type": "array"}, "b": {"type": "boolean"}}, "required": ["n"], "additionalProperties": False}}
+SCHEMA = {"f": {"properties": {"n": {"type": "integer"}, "s": {"type": "string", "maxLength": 3}, "x": {"type": "number"}, "o": {"type": "object"}, "l": {"type": "array"}, "b": {"type": "boolean"}, "d.t": {"type": "string", "pattern": "^a"}, "e": {"enum": ["x", 2, None]}, "r": {"type": "number", "minimum": 0, "maximum": 9}}, "required": ["n"], "additionalProperties": False}}
 
 
 @pytest.mark.parametrize(("arguments", "errors"), [
     ('{"n": 1}', ""), ('{"n": "1"}', "n: not integer"), ('{"s": "abcd"}', "n: missing; s: too long"), ('{"n": 1, "z": 0, "a": 1}', "a,z: not allowed"), ("[1]", "arguments: not an object"),
     ("nonsense", "arguments: not an object"), (None, "arguments: not an object"), ('{"n": 2, "x": 1.5, "o": {}, "l": [], "b": true}', ""), ('{"n": null}', "n: not integer"), ('{"n": 1, "b": "true"}', "b: not boolean"),
+    ('{"n": 12345678901234567890123, "d.t": "ab", "e": 2, "r": 9}', ""), ('{"n": 1.5}', "n: not integer"), ('{"n": 1.0, "d.t": "ba"}', "d.t: not of the pattern"), ('{"n": 1, "e": "2"}', "e: not one of those allowed"), ('{"n": 1, "e": null, "r": 9.5}', "r: too large"),
+    ('{"n": 1, "r": -1, "d.t": 3}', "d.t: not string; r: too small"), ('{"n": 1, "n": 1}', "arguments: not an object"),
 ])
 def test_schemas(spark, arguments, errors):
     rows = spark.createDataFrame([(1, 1, "a", "f", arguments, [])], CALLS)
@@ -184,3 +186,11 @@ def test_schemas(spark, arguments, errors):
 def test_canonical_json(spark):
     rows = spark.createDataFrame([('{ "b": [1, {"z": 1, "a": "\\u00e9"}], "a": null }',), ("no",)], "j string")
     assert [r[0] for r in rows.select(t6.canonical(rows.j)).collect()] == ['{"a":null,"b":[1,{"a":"é","z":1}]}', None]
+
+
+def test_long_texts_and_repeated_calls(spark):
+    text = "long " * 400_000
+    rows = [(1, 1, "user", text), (1, 1, "user", text), (1, 2, "assistant", text)]
+    got = t6.link(*t6.of_conversations(messages(spark, rows)), t6.SCHEMAS).collect()
+    assert [(r.call_id, r.status, r.n_results, r.errors) for r in got] == [("1:1", "linked", 1, "")] * 2 and sorted(r.position for r in got) == [0, 1]
+    assert json.loads(got[0].exchange)["result"] == text
