@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.plans.range_join import bucketed
+from palimpsest.plans.range_join import bucketed, overlap_join
+from palimpsest.plans.running import dealt, largest_before, sums_before
 from palimpsest.vocabulary import UNREADABLE
 
 BUCKET_RANGES = 256
@@ -44,8 +45,9 @@ def islands(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def coalesce(ranges: DataFrame) -> DataFrame:
-    """Merged ranges of maps without overlap (the second half of ``overlay``), each map in one task."""
-    return islands(ranges.select(OUT), ["map_urn"]).select(OUT)
+    """Merged ranges of maps without overlap (the second half of ``overlay``)."""
+    parts = dealt(ranges.select(OUT), "map_urn", "map_offset").withColumnRenamed("_part", "bucket")
+    return coalesce_buckets(parts).select(OUT)
 
 
 def coalesce_buckets(flat: DataFrame) -> DataFrame:
@@ -64,6 +66,11 @@ def coalesce_buckets(flat: DataFrame) -> DataFrame:
     return joined.groupBy("map_urn", "start").agg(F.min("map_offset").alias("map_offset"), F.sum("length").alias("length"), F.min("target_offset").alias("target_offset"), F.first("target").alias("target"))
 
 
+def clear(ranges: DataFrame) -> DataFrame:
+    """The map without ranges; its size attribute, which is a triple, stays."""
+    return ranges.where(F.lit(False))
+
+
 def get_ranges(ranges: DataFrame) -> DataFrame:
     return ranges.select(OUT).orderBy("map_urn", "map_offset")
 
@@ -81,9 +88,9 @@ def with_gaps(ranges: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     total = size(ranges) if sizes is None else sizes
     marker = total.select("map_urn", F.col("size").alias("map_offset"), F.lit(0).cast("bigint").alias("length"), F.lit(0).cast("bigint").alias("target_offset"), F.lit(None).cast("string").alias("target"))
     rows = ranges.select(OUT).unionByName(marker)
-    end = F.lag(F.col("map_offset") + F.col("length"), 1, 0).over(Window.partitionBy("map_urn").orderBy("map_offset", "length"))
-    gaps = rows.withColumn("end", end).where("map_offset > end").select("map_urn", F.col("end").alias("map_offset"), (F.col("map_offset") - F.col("end")).alias("length"), F.lit(0).cast("bigint").alias("target_offset"), F.lit(None).cast("string").alias("target"))
-    return ranges.select(OUT).unionByName(gaps)
+    rows = largest_before(rows, "map_urn", F.col("map_offset") + F.col("length"), "end", "map_offset", "length").withColumn("end", F.coalesce("end", F.lit(0)))
+    gaps = rows.where("map_offset > end").select("map_urn", F.col("end").alias("map_offset"), (F.col("map_offset") - F.col("end")).alias("length"), F.lit(0).cast("bigint").alias("target_offset"), F.lit(None).cast("string").alias("target"))
+    return rows.where("length > 0").select(OUT).unionByName(gaps)
 
 
 def lookup(ranges: DataFrame, requests: DataFrame) -> DataFrame:
@@ -92,8 +99,6 @@ def lookup(ranges: DataFrame, requests: DataFrame) -> DataFrame:
     Adds request_id, ``out_offset`` in the request, and the part's length and target_offset. Large maps are joined by buckets.
     """
     wanted = requests.where("length > 0").select("map_urn", "request_id", F.col("offset").alias("r_lo"), (F.col("offset") + F.col("length")).alias("r_hi"))
-    from palimpsest.plans.range_join import overlap_join
-
     left = ranges.where("length > 0").select(*OUT, (F.col("map_offset") + F.col("length")).alias("stop"))
     joined = overlap_join(left, wanted, "map_urn", ("map_offset", "stop"), ("r_lo", "r_hi"), BUCKET_RANGES)
     lo, hi = F.greatest("map_offset", "r_lo"), F.least("stop", "r_hi")
@@ -102,14 +107,12 @@ def lookup(ranges: DataFrame, requests: DataFrame) -> DataFrame:
 
 def compact(ranges: DataFrame) -> DataFrame:
     """Adds ``dense_offset``: where each range lies when the data are copied in map order without gaps."""
-    w = Window.partitionBy("map_urn").orderBy("map_offset").rowsBetween(Window.unboundedPreceding, -1)
-    return ranges.withColumn("dense_offset", F.coalesce(F.sum("length").over(w), F.lit(0)).cast("bigint"))
+    return sums_before(ranges, "map_urn", "length", "dense_offset", "map_offset")
 
 
 def appended(writes: DataFrame) -> DataFrame:
     """Writes (map_urn, seq, map_offset, length) go to the end of a data stream: adds ``target_offset``."""
-    w = Window.partitionBy("map_urn").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return writes.withColumn("target_offset", F.coalesce(F.sum("length").over(w), F.lit(0)).cast("bigint"))
+    return sums_before(writes, "map_urn", "length", "target_offset", "seq")
 
 
 def whole_stream(streams: DataFrame) -> DataFrame:

@@ -32,25 +32,25 @@ def classify(triples: DataFrame) -> DataFrame:
     return rows.select("s", kind.alias("kind"), F.when(kind == "delegate", F.col("stream")).alias("next"))
 
 
-def resolve(triples: DataFrame, depth: int = 32) -> DataFrame:
-    """(s, stream, kind, hops): follows data streams to a concrete stream; ``not_found`` for none, for cycles and beyond ``depth``.
+def resolve(triples: DataFrame) -> DataFrame:
+    """(s, stream, kind, hops): follows data streams, however many, to a concrete stream; ``not_found`` for none and for cycles.
 
-    Pointers double in each round, so a chain of n hops takes log2(n) joins; rounds end when no subject is open, and
-    each is written to the checkpoint folder, so that plans stay small.
+    Pointers double in each round, so a chain of n hops takes log2(n) joins, and each round is written to the checkpoint
+    folder. While an open chain has an end, its last open subject closes; a round in which none does leaves cycles only.
     """
     open_kind = F.when(F.col("kind") == "delegate", None).otherwise(F.coalesce("kind", symbolic_kind("s"), F.lit("not_found")))
-    state = cut(classify(triples).select("s", F.coalesce("next", "s").alias("stream"), open_kind.alias("kind"), F.when(F.col("kind") == "delegate", 1).otherwise(0).alias("hops")))
-    hops = 1
-    while hops < depth:
+    state = cut(classify(triples).select("s", F.coalesce("next", "s").alias("stream"), open_kind.alias("kind"), F.when(F.col("kind") == "delegate", 1).otherwise(0).cast("bigint").alias("hops")))
+    left = state.where("kind IS NULL").count()
+    while left:
         todo = state.where("kind IS NULL")
-        if todo.isEmpty():
-            break
         onward = state.select(F.col("s").alias("stream"), F.col("stream").alias("to"), F.col("kind").alias("k"), F.col("hops").alias("h"))
         step = todo.select("s", "stream", "hops").join(onward, "stream", "left")
         kind = F.when(F.col("h").isNull(), F.coalesce(symbolic_kind("stream"), F.lit("not_found"))).otherwise(F.col("k"))
         moved = step.select("s", F.coalesce("to", "stream").alias("stream"), kind.alias("kind"), (F.col("hops") + F.coalesce("h", F.lit(0))).alias("hops"))
         state = cut(state.where("kind IS NOT NULL").unionByName(moved))
-        hops *= 2
+        before, left = left, state.where("kind IS NULL").count()
+        if left == before:
+            break
     return state.withColumn("kind", F.coalesce("kind", F.lit("not_found")))
 
 

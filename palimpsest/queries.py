@@ -6,7 +6,6 @@ triples, address-map writes, streams, URNs or volume segments. The adaptations a
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from palimpsest.commands import export_candidates
 from palimpsest.functions import urns, values
 from palimpsest.operators import chunks, ranges, triples, volumes
+from palimpsest.plans.lineage import shared_folder
 from palimpsest.sources import files, turtle, zip_volume
 from palimpsest.vocabulary import ABSTRACT_IMAGES, BUILTIN_PREFIX, CODECS, CODEC_URNS, DATA_STREAM, EFI_READABLE, FILE_PREFIX, IMAGE, IMAGE_STREAMS, LEGACY_IMAGE, MAP, PREFIX, SMALL_FILE, STATUS, STORED, TYPE, UNREADABLE, VOLATILE_NS, ZIP_SEGMENT, ZIP_VOLUME
 
@@ -37,9 +37,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    return f"{top}/{name}-{uuid.uuid4().hex}"
+def folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # --- Triples -----------------------------------------------------------------------------------------------------
@@ -564,7 +563,7 @@ def export_plan(spark, sf_dir):
 def zip_members(spark, sf_dir):
     """Every conversation turn as a member of zip volumes, written and read back; checksums are verified while reading."""
     zip_volume.register(spark)
-    path = shared_folder(spark, "volumes").removeprefix("file:")
+    path = folder(spark, "volumes")
     member = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     rows = table(spark, sf_dir, "conversations").select(member.alias("member"), F.coalesce("text", F.lit("")).cast("binary").alias("payload"))
     rows.write.format("zip_volume").option("path", path).option("urn", BASE).mode("append").save()

@@ -27,7 +27,10 @@ BATCH_BYTES = 8 << 20
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    """The file system of a URI and the path in it; a bare path, or one after ``file:``, is the machine's own."""
+    if "://" in path:
+        return pafs.FileSystem.from_uri(path)
+    return pafs.LocalFileSystem(), path.removeprefix("file:")
 
 
 def expand(path: str) -> list[str]:
