@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 import struct
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -39,8 +41,14 @@ class Volumes:
 
     segments: DataFrame
     triples: DataFrame
+    #: A new scan of the segments. Filters that are pushed into a scan hold for all plans that share it, so each filtered read needs its own.
+    scan: Callable[[], DataFrame] | None = field(default=None, repr=False, compare=False)
     maps: dict = field(default_factory=dict, repr=False, compare=False)
 
+    def named(self, *urns: str) -> DataFrame:
+        """The segments of these names, of which alone the reader opens the members."""
+        return (self.scan or (lambda: self.segments))().where(F.col("urn").isin(list(urns)))
+
     def list_images(self) -> DataFrame:
         return triples.query(self.triples, TYPE, IMAGE)
 
@@ -90,7 +98,7 @@ class Volumes:
             return (pattern * ((start + length) // len(pattern) + 1))[start : start + length]
         if kind == "map":
             return self.read_map(stream, offset, min(length, self.map_size(stream) - offset), depth)
-        row = self.segments.where(F.col("urn") == stream).select(F.substring("payload", offset + 1, length).alias("d")).first()
+        row = self.named(stream).select(F.substring("payload", offset + 1, length).alias("d")).first()
         if row is None:
             raise FileNotFoundError(urn)
         return bytes(row.d)
@@ -102,7 +110,7 @@ class Volumes:
             part = {}
             for name in ("map", "idx"):
                 urn = f"{stream}/{name}"
-                rows = self.segments.where(F.col("urn") == urn).select(F.lit(stream).alias("map_urn"), F.col("payload").alias(name)).limit(1)
+                rows = self.named(urn).select(F.lit(stream).alias("map_urn"), F.col("payload").alias(name)).limit(1)
                 if self.find(urn)[1] != "segment":
                     rows = spark.createDataFrame([(stream, self.read(urn, 0, self.object_size(urn)))], f"map_urn string, {name} binary")
                 elif rows.isEmpty():
@@ -151,7 +159,7 @@ class Volumes:
         row = chunks.parameters(self.triples).where(F.col("s") == stream).first()
         if row is not None and row["size"] is not None:
             return row["size"]
-        row = self.segments.where(F.col("urn") == stream).select("size").first()
+        row = self.named(stream).select("size").first()
         return row[0] if row else 0
 
     def export(self, folder: str, pattern: str = "*", piece: int = PIECE) -> list[tuple[str, str, int, str | None]]:
@@ -180,17 +188,39 @@ class Volumes:
         row = triples.get(self.triples, urn, attribute, dt).first()
         return row.o if row else None
 
+    def get_string_property(self, urn: str, attribute: str) -> str | None:
+        return self.get_property(urn, attribute, "string")
+
+    def get_integer_property(self, urn: str, attribute: str) -> int | None:
+        value = self.get_property(urn, attribute, "integer")
+        return None if value is None else int(value)
+
+    def get_boolean_property(self, urn: str, attribute: str) -> bool | None:
+        value = self.get_property(urn, attribute, "boolean")
+        return None if value is None else value == "true"
+
+    def get_binary_property(self, urn: str, attribute: str) -> bytes | None:
+        value = self.get_property(urn, attribute, "hexBinary")
+        return None if value is None else bytes.fromhex(value)
+
+    def dump(self, verbose: bool = True, form: str = "turtle") -> str:
+        """The metadata as text: Turtle, or JSON of subject to attribute to values."""
+        if form == "turtle":
+            return self.view(verbose)
+        rows = triples.attributes(triples.dump(self.triples, verbose)).orderBy("s").toLocalIterator()
+        return json.dumps({r.s: r.attributes for r in rows}, ensure_ascii=False, indent=1)
+
 
 def load_volumes(spark: SparkSession, path: str) -> Volumes:
     """All zip volumes that a path, folder or pattern names; where members are stored is known from the volumes themselves."""
     zip_volume.register(spark)
-    segments = spark.read.format("zip_volume").option("path", path).load()
+    scan = lambda: spark.read.format("zip_volume").option("path", path).load()
     catalog = spark.read.format("zip_volume").option("path", path).option("payload", "false").load()
-    texts = segments.where(F.col("member") == INFORMATION_TURTLE).select("volume", F.col("payload").cast("string").alias("value"))
+    texts = scan().where(F.col("member") == INFORMATION_TURTLE).select("volume", F.col("payload").cast("string").alias("value"))
     meta = triples.standard_names(turtle.of_texts(texts)).where(F.col("p") != STORED)
     stored = catalog.select("volume", F.col("urn").alias("s"), F.lit(STORED).alias("p"), F.col("volume").alias("o"), F.lit("urn").alias("dt"), F.lit(0).cast("bigint").alias("seq"))
     kinds = stored.withColumn("p", F.lit(TYPE)).withColumn("o", F.lit(ZIP_SEGMENT)).withColumn("seq", F.lit(1 << 40))  # after the types that metadata give
-    return Volumes(segments, meta.unionByName(stored).unionByName(kinds))
+    return Volumes(scan(), meta.unionByName(stored).unionByName(kinds), scan)
 
 
 def open_image(spark: SparkSession, path: str) -> tuple[Volumes, str | None]:
@@ -214,13 +244,15 @@ def stored_chunks(volumes: Volumes, stream: str | None = None, first: int = 0, l
     """Chunks (urn, chunk_id, offset, length, payload) of image streams from their bevy and index members, or of one stream's bevies ``first`` to ``last``.
 
     A bevy and its index meet by name, ``.index`` or, in older containers, ``/index``, which holds 4-byte cumulative ends;
-    the cut and the decompression are one pass over each bevy. A bevy without an index, or an index without a bevy, is an error.
+    the cut and the decompression are one pass over each bevy, a few chunks at a time. A bevy without an index, or an index
+    without a bevy, is an error; a damaged chunk has a null payload and its ``error``.
     """
-    s = volumes.segments.select("urn", "payload")
     pattern = r"^(.*)/([0-9]{8})([./]index)?$"
-    named = s.where(F.col("urn").rlike(pattern)).select(F.regexp_extract("urn", pattern, 1).alias("stream"), F.regexp_extract("urn", pattern, 2).cast("bigint").alias("bevy_id"), F.regexp_extract("urn", pattern, 3).alias("suffix"), "payload")
-    if stream is not None:
-        named = named.where((F.col("stream") == stream) & (F.col("bevy_id") >= first) & (F.col("bevy_id") <= (first if last is None else last)))
+    named_of = lambda s: s.where(F.col("urn").rlike(pattern)).select(F.regexp_extract("urn", pattern, 1).alias("stream"), F.regexp_extract("urn", pattern, 2).cast("bigint").alias("bevy_id"), F.regexp_extract("urn", pattern, 3).alias("suffix"), "payload")
+    named = named_of(volumes.segments)
+    if stream is not None:  # the reader opens the members of these names only
+        names = [f"{stream}/{b:08d}" for b in range(first, (first if last is None else last) + 1)]
+        named = named_of(volumes.named(*(n + suffix for n in names for suffix in ("", ".index", "/index"))))
     indexes = named.where("suffix <> ''").select("stream", "bevy_id", F.col("payload").alias("index"), (F.col("suffix") == "/index").alias("legacy"))
     bevies = named.where("suffix = ''").drop("suffix").join(indexes, ["stream", "bevy_id"], "full")
     bevies = bevies.join(chunks.parameters(volumes.triples).select(F.col("s").alias("stream"), "chunk_size", "per_bevy", "codec"), "stream")
@@ -228,32 +260,43 @@ def stored_chunks(volumes: Volumes, stream: str | None = None, first: int = 0, l
     def run(batches):
         from palimpsest.sources.files import INDEX
 
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.string())
+        table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["urn", "chunk_id", "offset", "length", "payload", "error"])
         for batch in batches:
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):
+                r = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
                 if r["index"] is None or r["payload"] is None:
                     raise OSError(f"bevy {r['bevy_id']} of {r['stream']} has no {'index' if r['index'] is None else 'data'}")
-                rows = []
-                for i, (offset, length) in enumerate(legacy_entries(r["index"]) if r["legacy"] else struct.iter_unpack(INDEX, r["index"])):
-                    data = r["payload"][offset : offset + length]
-                    plain = data if length == r["chunk_size"] or r["codec"] == "stored" else chunks.decompress_bytes(data, r["codec"], r["chunk_size"])
-                    chunk = r["bevy_id"] * r["per_bevy"] + i
-                    rows.append((r["stream"], chunk, chunk * r["chunk_size"], len(plain), plain))
+                rows, held = [], 0
+                for n, (offset, length) in enumerate(legacy_entries(r["index"]) if r["legacy"] else struct.iter_unpack(INDEX, r["index"])):
+                    data, plain, error = r["payload"][offset : offset + length], None, None
+                    try:
+                        plain = data if length == r["chunk_size"] or r["codec"] == "stored" else chunks.decompress_bytes(data, r["codec"], r["chunk_size"])
+                    except Exception as e:  # a damaged chunk is an error of its own, not of the stream
+                        error = str(e) or type(e).__name__
+                    chunk = r["bevy_id"] * r["per_bevy"] + n
+                    rows.append((r["stream"], chunk, chunk * r["chunk_size"], len(plain or b""), plain, error))
+                    held += len(plain or b"")
+                    if held >= 8 << 20:
+                        yield table(rows)
+                        rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["urn", "chunk_id", "offset", "length", "payload"])
+                    yield table(rows)
 
-    return bevies.mapInArrow(run, "urn string, chunk_id bigint, offset bigint, length int, payload binary")
+    return bevies.mapInArrow(run, "urn string, chunk_id bigint, offset bigint, length int, payload binary, error string")
 
 
 def ingest(files: DataFrame, path: str, base: str, codec: str = "zlib", chunk_size: int = 32 * 1024, per_bevy: int = 1024, threshold: int = 10 << 20, volumes: int | None = None) -> DataFrame:
     """Writes (name, data) files into zip volumes of a folder, small ones as segments, others as chunked streams; returns the triples.
 
-    Each task writes a volume of its own, so members have absolute names, which hold in any volume.
+    Each task writes a volume of its own, so members have absolute names, which hold in any volume; the metadata of a
+    stream go into the volume of its first member.
     """
     spark = files.sparkSession
     zip_volume.register(spark)
     urn = F.concat(F.lit(base.rstrip("/") + "/"), F.regexp_replace("name", "^/+", ""))
     rows = files.select(urn.alias("urn"), "name", F.col("data").cast("binary").alias("data")).withColumn("kind", chunks.storage_choice(F.length("data"), codec, threshold))
-    plain = rows.where("kind = 'segment'").select(member_name("urn", F.lit("-")).alias("member"), F.col("data").alias("payload"), F.lit("stored" if codec == "none" else "deflate").alias("method"))
+    plain = rows.where("kind = 'segment'").select(member_name("urn", F.lit("-")).alias("member"), F.col("data").alias("payload"), F.lit("stored" if codec == "none" else "deflate").alias("method"), F.col("urn").alias("subject"))
     image_codec = "stored" if codec == "none" else codec
     cut = chunks.compress(chunks.chunked(rows.where("kind = 'image'"), chunk_size, per_bevy), image_codec, chunk_size)
 
@@ -271,14 +314,14 @@ def ingest(files: DataFrame, path: str, base: str, codec: str = "zlib", chunk_si
         urn, bevy = key[0].as_py(), key[1].as_py()
         return pa.table([pa.array([f"{urn}/{bevy:08d}", f"{urn}/{bevy:08d}.index"]), pa.array([b"".join(data), b"".join(index)], pa.binary())], ["urn", "payload"])
 
-    streams = cut.groupBy("urn", "bevy_id").applyInArrow(bevies, "urn string, payload binary").select(member_name("urn", F.lit("-")).alias("member"), "payload", F.lit("stored").alias("method"))
+    streams = cut.groupBy("urn", "bevy_id").applyInArrow(bevies, "urn string, payload binary").select(member_name("urn", F.lit("-")).alias("member"), "payload", F.lit("stored").alias("method"), F.regexp_extract("urn", "^(.*)/00000000$", 1).alias("subject"))
     kinds = F.when(F.col("kind") == "image", F.array(*[F.struct(F.lit(p).alias("p"), o.alias("o"), F.lit(dt).alias("dt")) for p, o, dt in (
         (TYPE, F.lit(chunks.IMAGE_STREAMS[0]), "urn"), (chunks.CHUNK_SIZE, F.lit(str(chunk_size)), "integer"), (chunks.CHUNKS_IN_SEGMENT, F.lit(str(per_bevy)), "integer"),
         (chunks.SIZE, F.length("data").cast("string"), "integer"), (COMPRESSION, F.lit(chunks.CODEC_URNS[image_codec]), "urn"))])).otherwise(F.array(F.struct(F.lit(TYPE).alias("p"), F.lit(triples.ZIP_SEGMENT).alias("o"), F.lit("urn").alias("dt"))))
     common = F.array(F.struct(F.lit(TYPE).alias("p"), F.lit(IMAGE).alias("o"), F.lit("urn").alias("dt")), F.struct(F.lit(ORIGINAL_FILENAME).alias("p"), F.col("name").alias("o"), F.lit("string").alias("dt")))
     meta = rows.select("urn", F.posexplode(F.concat(kinds, common)).alias("seq", "x")).select(F.lit(base).alias("volume"), F.col("urn").alias("s"), "x.p", "x.o", "x.dt", F.col("seq").cast("bigint").alias("seq"))
-    text = turtle.header() + "".join(r.value for r in turtle.statements(meta).toLocalIterator())
-    segments = plain.union(streams)
+    texts = turtle.by_subject(meta).select(F.col("s").alias("subject"), F.col("value").alias("turtle"))
+    segments = plain.union(streams).join(texts, "subject", "left").drop("subject")
     segments = segments.repartition(volumes) if volumes else segments
-    segments.write.format("zip_volume").option("path", path).option("urn", base).option("turtle", text).mode("append").save()
+    segments.write.format("zip_volume").option("path", path).option("urn", base).option("turtle", turtle.header()).mode("append").save()
     return meta

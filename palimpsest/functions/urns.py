@@ -151,6 +151,11 @@ def filename_of(urn) -> Column:
     return F.when(u.startswith(FILE_PREFIX), F.try_url_decode(F.replace(path(u), F.lit("+"), F.lit("%2B"))))
 
 
+def absolute(name, cwd: str) -> Column:
+    """``absolute_path`` of a column."""
+    return F.when(col(name).rlike(r"(?s)^(?:[/\\]|.:)"), col(name)).otherwise(F.concat(F.lit(f"{cwd}/"), col(name)))
+
+
 def absolute_path(name: str, cwd: str | None = None) -> str:
     """Prepends the working directory unless the name is absolute or starts with a drive letter."""
     if name[:1] in ("/", "\\") or name[1:2] == ":":

@@ -11,12 +11,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.commands import export_candidates
+from palimpsest.commands import export_candidates, ingest, load_volumes
 from palimpsest.functions import urns, values
 from palimpsest.operators import chunks, ranges, triples, volumes
 from palimpsest.plans.lineage import shared_folder
 from palimpsest.sources import files, turtle, zip_volume
-from palimpsest.vocabulary import ABSTRACT_IMAGES, BUILTIN_PREFIX, CODECS, CODEC_URNS, DATA_STREAM, EFI_READABLE, FILE_PREFIX, IMAGE, IMAGE_STREAMS, LEGACY_IMAGE, MAP, PREFIX, SMALL_FILE, STATUS, STORED, TYPE, UNREADABLE, VOLATILE_NS, ZIP_SEGMENT, ZIP_VOLUME
+from palimpsest.vocabulary import ABSTRACT_IMAGES, BUILTIN_PREFIX, CHUNK_SIZE, CHUNKS_IN_SEGMENT, CODECS, CODEC_URNS, COMPRESSION, DATA_STREAM, DEFAULT_CHUNK_SIZE, DEFAULT_CHUNKS_PER_BEVY, EFI_READABLE, FILE_PREFIX, IMAGE, IMAGE_STREAMS, LEGACY_IMAGE, LEGACY_NS, MAP, PREFIX, SIZE, SMALL_FILE, STATUS, STORED, TYPE, UNREADABLE, VOLATILE_NS, ZIP_SEGMENT, ZIP_VOLUME
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -180,6 +180,21 @@ def turtle_round_trip(spark, sf_dir):
     return turtle.of_texts(text).where(F.col("p") != TYPE).select("s", "p", "o", "dt")
 
 
+@query(f"WITH {STAR} SELECT s, p, o FROM triples WHERE false")
+def triple_clear(spark, sf_dir):
+    return triples.clear(spark).select("s", "p", "o")
+
+
+@query(f"""SELECT '<{BASE}/part/' || p_partkey || '>' || chr(10) || '    <{TYPE}> <{MAP}> ;' || chr(10) || '    <name> "' || p_name || '" .' || chr(10) AS value FROM part""")
+def turtle_dump(spark, sf_dir):
+    return turtle.statements(typed_parts(spark, sf_dir, [MAP]), verbose=True)
+
+
+@query(f"SELECT '{BASE}/part/' || p_partkey AS s, 'rdf:type' AS p, 'a:Map' AS o FROM part UNION ALL SELECT '{BASE}/part/' || p_partkey, 'name', p_name FROM part")
+def names_compact(spark, sf_dir):
+    return typed_parts(spark, sf_dir, [MAP]).select("s", triples.compact("p").alias("p"), triples.compact("o").alias("o"))
+
+
 # --- Values ------------------------------------------------------------------------------------------------------
 
 
@@ -308,6 +323,13 @@ def file_urn_roundtrip(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urns.filename_of(urns.file_urn(name)).alias("name"))
 
 
+@query("""SELECT page_id, replace(url, '/', '|') AS parts, ends_with(url, 'html') AS html, printf('%05d %s', page_id, url) AS line,
+  CASE page_id % 4 WHEN 0 THEN '/' || url WHEN 1 THEN 'C:' || url WHEN 2 THEN chr(92) || url ELSE '/cwd/' || url END AS absolute FROM pages""")
+def string_functions(spark, sf_dir):
+    given = F.concat(F.get(F.array(F.lit("/"), F.lit("C:"), F.lit("\\"), F.lit("")), (F.col("page_id") % 4).cast("int")), F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", urns.join(urns.split("url", "/"), "|").alias("parts"), urns.has_ending("url", "html").alias("html"), urns.sprintf("%05d %s", "page_id", "url").alias("line"), urns.absolute(given, "/cwd").alias("absolute"))
+
+
 # --- Chunks ------------------------------------------------------------------------------------------------------
 
 CHUNK, PER_BEVY = 64, 3
@@ -381,6 +403,30 @@ def symbolic_read(spark, sf_dir):
     return d.select("doc_id", chunks.symbolic("UNREADABLEDATA", F.col("doc_id") * 15, (F.col("doc_id") % 500).cast("int")).alias("data"))
 
 
+@query(f"""WITH w AS (SELECT CAST(doc_id AS VARCHAR) AS urn, doc_id % 40 AS k, coalesce(length(text), 0) AS n FROM documents)
+SELECT urn, k AS chunk_id, k // {PER_BEVY} AS bevy_id, CAST(k % {PER_BEVY} AS INT) AS chunk_in_bevy, n > k * {CHUNK} AS found,
+  CASE WHEN n > k * {CHUNK} THEN k % {PER_BEVY} * {CHUNK} END AS "offset", CASE WHEN n > k * {CHUNK} THEN least({CHUNK}, n - k * {CHUNK}) END AS length FROM w""")
+def chunk_lookup(spark, sf_dir):
+    wanted = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("urn"), (F.col("doc_id") % 40).alias("chunk_id"))
+    return chunks.chunk_lookup(chunks.bevy_index(doc_chunks(spark, sf_dir)), wanted, PER_BEVY)
+
+
+GIVEN_CODECS = [CODEC_URNS["zlib"], CODEC_URNS["snappy"], "urn:unknown", None]
+
+
+@query(f"""SELECT '{BASE}/s/' || p_partkey AS s, CASE p_partkey % 3 WHEN 2 THEN {DEFAULT_CHUNK_SIZE} ELSE p_size * 512 END AS chunk_size, CASE p_partkey % 3 WHEN 2 THEN {DEFAULT_CHUNKS_PER_BEVY} ELSE p_size END AS per_bevy,
+  CASE WHEN p_partkey % 3 < 2 THEN p_partkey * 1000 END AS size, {kind_sql(['zlib', 'snappy', None, 'deflate'], 'p_partkey')} AS codec, CASE p_partkey % 4 WHEN 2 THEN 'NOT_IMPLEMENTED' ELSE 'STATUS_OK' END AS status FROM part""")
+def stream_parameters(spark, sf_dir):
+    """Streams described by standard names, by older ones, or by their type alone."""
+    k, number = F.col("p_partkey"), lambda c: c.cast("string")
+    name = lambda new, old: F.when(k % 3 == 0, new).when(k % 3 == 1, f"{LEGACY_NS}{old}")
+    codec = F.get(F.array(*[F.lit(c) for c in GIVEN_CODECS]), (k % 4).cast("int"))
+    given = [(F.lit(TYPE), F.lit(IMAGE_STREAMS[0])), (name(CHUNK_SIZE, "chunk_size"), number(F.col("p_size") * 512)), (name(CHUNKS_IN_SEGMENT, "chunks_in_segment"), number(F.col("p_size"))), (name(SIZE, "size"), number(k * 1000)), (F.lit(COMPRESSION), codec)]
+    entries = F.array(*[F.struct(p.alias("p"), o.alias("o"), F.lit(i).cast("bigint").alias("seq")) for i, (p, o) in enumerate(given)])
+    rows = table(spark, sf_dir, "part").select(F.concat(F.lit(f"{BASE}/s/"), k.cast("string")).alias("s"), F.explode(entries).alias("e")).select("s", "e.*").where("p IS NOT NULL AND o IS NOT NULL")
+    return chunks.parameters(rows, "deflate")
+
+
 # --- Address maps ------------------------------------------------------------------------------------------------
 
 
@@ -420,6 +466,22 @@ def map_overlay(spark, sf_dir):
     return ranges.overlay(writes(spark, sf_dir))
 
 
+@query(f"WITH {WRITES}, {overlay_sql('writes')} SELECT * FROM overlaid")
+def map_get_ranges(spark, sf_dir):
+    return ranges.get_ranges(ranges.overlay(writes(spark, sf_dir)))
+
+
+@query(f"WITH {WRITES}, {overlay_sql('writes')} SELECT * FROM overlaid WHERE false")
+def map_clear(spark, sf_dir):
+    return ranges.clear(ranges.overlay(writes(spark, sf_dir)))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS map_urn, CAST(0 AS BIGINT) AS map_offset, CAST(n_chars AS BIGINT) AS length, CAST(0 AS BIGINT) AS target_offset, source AS target FROM documents")
+def map_whole_stream(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return ranges.whole_stream(d.select(F.col("doc_id").cast("string").alias("map_urn"), "n_chars", F.col("source").alias("target"), F.col("n_chars").cast("bigint").alias("size")))
+
+
 @query(f"""WITH {WRITES}, {overlay_sql('writes')},
 edges AS (SELECT map_urn, map_offset, coalesce(lag(map_offset + length) OVER (PARTITION BY map_urn ORDER BY map_offset), 0) AS stop FROM overlaid
   UNION ALL SELECT map_urn, CAST(600 AS BIGINT), max(map_offset + length) FROM overlaid GROUP BY map_urn)
@@ -569,3 +631,17 @@ def zip_members(spark, sf_dir):
     rows.write.format("zip_volume").option("path", path).option("urn", BASE).mode("append").save()
     back = spark.read.format("zip_volume").option("path", path).load()
     return back.where(~F.col("member").isin("container.description", "version.txt", "information.turtle")).select("member", "size", F.md5("payload").alias("digest"), "crc_ok")
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS name, md5(text) AS digest, CASE WHEN octet_length(encode(text)) < 2000 THEN 'segment' ELSE 'image' END AS kind FROM documents WHERE length(text) > 0""")
+def ingest_round_trip(spark, sf_dir):
+    """Every document as a file taken into zip volumes, small ones as segments, others as chunked streams, and read back by its metadata."""
+    path = folder(spark, "ingest")
+    files = table(spark, sf_dir, "documents").where("length(text) > 0").select(F.col("doc_id").cast("string").alias("name"), F.col("text").cast("binary").alias("data"))
+    ingest(files, path, BASE, "snappy", chunk_size=512, per_bevy=8, threshold=2000)
+    found = load_volumes(spark, path)
+    name = F.regexp_extract("urn", "^.*/([0-9]+)$", 1)
+    small = found.scan().where(F.col("urn").rlike(f"^{BASE}/[0-9]+$")).select(name.alias("name"), F.md5("payload").alias("digest"), F.lit("segment").alias("kind"))
+    parts = F.array_sort(F.collect_list(F.struct("chunk_id", F.hex("payload").alias("h"))))
+    whole = F.md5(F.unhex(F.array_join(F.transform(parts, lambda x: x["h"]), "")))
+    return small.union(found.chunks().groupBy("urn").agg(whole.alias("digest")).select(name, "digest", F.lit("image")))

@@ -125,11 +125,16 @@ def quoted(c) -> F.Column:
 
 def statements(triples: DataFrame, verbose: bool = False) -> DataFrame:
     """One row of text for each subject, of what ``dump`` leaves, values in order of seq."""
+    return by_subject(triples, verbose).select("value")
+
+
+def by_subject(triples: DataFrame, verbose: bool = False) -> DataFrame:
+    """(s, value): the text of each subject."""
     types = F.create_map(*[F.lit(x) for kv in DATATYPE_URNS.items() for x in kv])
     value = F.when(F.col("dt") == "urn", F.concat(F.lit("<"), "o", F.lit(">"))).when(F.col("dt") == "string", quoted(F.col("o"))).otherwise(F.concat(quoted(F.col("o")), F.lit("^^<"), types[F.col("dt")], F.lit(">")))
     lines = dump(triples, verbose).select("s", F.struct("p", "seq", F.concat(F.lit("    <"), "p", F.lit("> "), value).alias("line")).alias("x"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), " ;\n")
-    return lines.groupBy("s").agg(F.concat(F.lit("<"), F.col("s"), F.lit(">\n"), body, F.lit(" .\n")).alias("value")).select("value")
+    return lines.groupBy("s").agg(F.concat(F.lit("<"), F.col("s"), F.lit(">\n"), body, F.lit(" .\n")).alias("value"))
 
 
 def header(names: dict[str, str] | None = None) -> str:

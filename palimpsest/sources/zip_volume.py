@@ -1,7 +1,8 @@
 """Zip container volumes as a Spark data source, ``spark.read.format("zip_volume")``.
 
 Reading plans partitions from each archive's central directory, a run of members each, so that a large volume is read
-by many tasks and none holds more than one member. Archives appended to other data and zip64 archives are read; the
+by many tasks and none holds more than one member. Filters on member, urn and volume are pushed into the reader: members
+that they exclude are neither planned nor inflated. Archives appended to other data and zip64 archives are read; the
 comment names the volume. Writing makes one volume a task, committed under its final name when all tasks are done.
 """
 
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, StringStartsWith, WriterCommitMessage
 
 from palimpsest.vocabulary import CONTAINER_DESCRIPTION, INFORMATION_TURTLE, SCHEME, VERSION_TXT
 
@@ -109,9 +110,10 @@ METHODS = {zipfile.ZIP_STORED: "stored", zipfile.ZIP_DEFLATED: "deflate"}
 
 @dataclass
 class Members(InputPartition):
+    """Members of one archive, by their places in its directory."""
+
     path: str
-    first: int
-    stop: int
+    places: list[int]
 
 
 class ZipVolume(DataSource):
@@ -135,26 +137,55 @@ class ZipReader(DataSourceReader):
     def __init__(self, options, schema):
         self.path, self.schema = options["path"], schema
         self.with_payload = options.get("payload", "true").lower() != "false"
+        self.tests: list[tuple[str, str, tuple]] = []
+
+    def pushFilters(self, filters):
+        for f in filters:
+            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            if name not in ("member", "urn", "volume"):
+                yield f
+            elif isinstance(f, EqualTo):
+                self.tests.append((name, "in", (f.value,)))
+            elif isinstance(f, In):
+                self.tests.append((name, "in", tuple(f.value)))
+            elif isinstance(f, StringStartsWith):
+                self.tests.append((name, "prefix", (f.value,)))
+            else:
+                yield f
+
+    def wanted(self, member: str, volume: str) -> bool:
+        value = {"member": member, "volume": volume}
+        for name, kind, given in self.tests:
+            v = urn_of(member, volume) if name == "urn" else value[name]
+            if not (v in given if kind == "in" else v.startswith(given[0])):
+                return False
+        return True
 
     def partitions(self) -> list[Members]:
         out = []
         for path in expand(self.path):
             with open_archive(path) as archive:
-                first, size = 0, 0
-                infos = archive.infolist()
-                for i, info in enumerate(infos):
+                places, size = [], 0
+                volume = volume_urn(archive, path)
+                for i, info in enumerate(archive.infolist()):
+                    if not self.wanted(info.filename, volume):
+                        continue
+                    places.append(i)
                     size += info.file_size
                     if size >= PARTITION_BYTES and self.with_payload:
-                        out.append(Members(path, first, i + 1))
-                        first, size = i + 1, 0
-                if first < len(infos) or not infos:
-                    out.append(Members(path, first, len(infos)))
-        return out
+                        out.append(Members(path, places))
+                        places, size = [], 0
+                if places:
+                    out.append(Members(path, places))
+        return out or [Members("", [])]
 
     def read(self, partition: Members):
+        if not partition.places:
+            return
         with open_archive(partition.path) as archive:
             volume, rows, held = volume_urn(archive, partition.path), [], 0
-            for info in archive.infolist()[partition.first : partition.stop]:
+            infos = archive.infolist()
+            for info in map(infos.__getitem__, partition.places):
                 payload, ok = None, None
                 if self.with_payload:
                     try:
@@ -201,8 +232,9 @@ class Written(WriterCommitMessage):
 
 
 class ZipWriter(DataSourceWriter):
-    """Rows need ``member`` and ``payload``; ``method`` may be given for each. Options: ``path`` (a folder), ``urn`` (of the
-    volumes, with the part's number), ``turtle`` (text of each volume's metadata member)."""
+    """Rows need ``member`` and ``payload``; ``method`` may be given for each, and ``turtle``, text that goes into the metadata
+    member of the row's own volume. Options: ``path`` (a folder), ``urn`` (of the volumes, with the part's number),
+    ``turtle`` (text that each volume's metadata member begins with)."""
 
     def __init__(self, options, schema, overwrite):
         self.path, self.urn, self.turtle, self.overwrite = options["path"], options.get("urn", f"{SCHEME}://volume"), options.get("turtle"), overwrite
@@ -224,11 +256,14 @@ class ZipWriter(DataSourceWriter):
             put = lambda name, data, method: z.writestr(zipfile.ZipInfo(name, stamp), data, zipfile.ZIP_STORED if method == "stored" else zipfile.ZIP_DEFLATED)
             put(CONTAINER_DESCRIPTION, urn.encode(), "stored")
             put(VERSION_TXT, b"major=1\nminor=0\n", "stored")
-            if self.turtle:
-                put(INFORMATION_TURTLE, self.turtle.encode(), "deflate")
+            metadata = [self.turtle or ""]
             for row in iterator:
                 put(row["member"], bytes(row["payload"] or b""), row["method"] if "method" in self.columns else "deflate")
+                if "turtle" in self.columns and row["turtle"]:
+                    metadata.append(row["turtle"])
                 n += 1
+            if any(metadata):
+                put(INFORMATION_TURTLE, "".join(metadata).encode(), "deflate")
         return Written(temporary, final, n)
 
     def commit(self, messages) -> None:
@@ -248,4 +283,6 @@ class ZipWriter(DataSourceWriter):
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the format known, and lets Spark hand filters to readers written in Python."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ZipVolume)
