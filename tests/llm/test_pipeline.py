@@ -1,5 +1,6 @@
 import public_tokenizers
-from helpers import docs, labels
+import pytest
+from helpers import docs, empty, labels
 from test_classifiers import corpus
 
 import corpus_pipeline
@@ -34,3 +35,24 @@ def test_stages_are_the_operators_in_order(spark, tmp_path):
     assert got == want and 9001 not in {i for i, _ in got} and 9002 not in {i for i, _ in got}
     assert 9002 in leaks and 100 < len(got) < 250
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "jaccard_join", "decontamination", "byte_bpe"]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_awkward_rows_in_every_stage(spark, tmp_path, name):
+    """Nulls, empty and long texts, repeated rows and clashing names pass; all but the last stage keep the columns."""
+    stage, sf = dict(corpus_pipeline.STAGES)[name], str(tmp_path / "sf")
+    labels(spark, [(i, 1, 0) for i in range(1, 8)]).write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, "an item of the benchmark that no text holds")], "item_id bigint, text string").write.parquet(f"{sf}/benchmark.parquet")
+    d = docs(spark)
+    out = stage(spark, d, sf)
+    kept = out.collect()
+    none = stage(spark, empty(spark), sf)
+    assert none.count() == 0 and none.columns == out.columns
+    if name == "byte_bpe":
+        assert len(kept) == d.count() and all(r.ids == [] for r in kept if r.doc_id in (2, 3))
+    else:
+        assert out.columns == d.columns and {tuple(r) for r in kept} <= {tuple(r) for r in d.collect()}
+    if name in ("toxicity", "quality", "decontamination"):
+        assert sorted(r.doc_id or -1 for r in kept) == [-1, 1, 1, 2, 3, 4, 5, 6, 7]
+    if name == "jaccard_join":
+        assert sorted(r.doc_id or -1 for r in kept) == [-1, 1, 2, 3, 4, 5, 6, 7]
