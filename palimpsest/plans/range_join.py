@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.plans.lineage import cut
+
 
 def buckets_of(ranges: DataFrame, key: str, lo: str, hi: str, per_bucket: int) -> DataFrame:
-    """(key, base, width): cuts each key's address space so that a bucket holds about ``per_bucket`` ranges."""
+    """(key, base, top, width): cuts each key's address space so that a bucket holds about ``per_bucket`` ranges."""
     stats = ranges.groupBy(key).agg(F.min(lo).alias("base"), F.max(hi).alias("top"), F.count("*").alias("n"))
     parts = F.ceil(F.col("n") / per_bucket)
-    return stats.select(key, "base", F.greatest(F.ceil((F.col("top") - F.col("base")) / parts), F.lit(1)).cast("bigint").alias("width"))
+    return stats.select(key, "base", "top", F.greatest(F.ceil((F.col("top") - F.col("base")) / parts), F.lit(1)).cast("bigint").alias("width"))
 
 
 def bucketed(ranges: DataFrame, key: str, lo: str, hi: str, per_bucket: int) -> DataFrame:
@@ -19,18 +21,19 @@ def bucketed(ranges: DataFrame, key: str, lo: str, hi: str, per_bucket: int) ->
     number = lambda x: f"CAST(({x} - base) DIV width AS BIGINT)"
     cut = joined.withColumn("bucket", F.explode(F.expr(f"sequence({number(lo)}, {number(f'{hi} - 1')})")))
     start = F.col("base") + F.col("bucket") * F.col("width")
-    return cut.withColumn("lo", F.greatest(lo, start)).withColumn("hi", F.least(F.col(hi), start + F.col("width"))).drop("base", "width")
+    return cut.withColumn("lo", F.greatest(lo, start)).withColumn("hi", F.least(F.col(hi), start + F.col("width"))).drop("base", "top", "width")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, key: str, left_range: tuple[str, str], right_range: tuple[str, str], per_bucket: int) -> DataFrame:
     """Inner join of half-open ranges that overlap: equal key and bucket, then the exact test; each pair once, in the
-    bucket where the overlap starts. Buckets are those of the left side, and the right side is clipped to them.
+    bucket where the overlap starts. Buckets are those of the left side, and the right side is clipped to them. The left
+    side is kept in the shared folder, as it is read for the buckets and for the join.
     """
+    left = cut(left)
     grid = buckets_of(left, key, *left_range, per_bucket)
-    top = left.groupBy(key).agg(F.max(left_range[1]).alias("top"))
 
     def dealt(df: DataFrame, lo: str, hi: str) -> DataFrame:
-        df = df.join(grid, key).join(top, key).where((F.col(lo) < F.col("top")) & (F.col(hi) > F.col("base")))
+        df = df.join(grid, key).where((F.col(lo) < F.col("top")) & (F.col(hi) > F.col("base")))
         first, last = f"(greatest({lo}, base) - base) DIV width", f"(least({hi}, top) - 1 - base) DIV width"
         return df.withColumn("bucket", F.explode(F.expr(f"sequence(CAST({first} AS BIGINT), CAST({last} AS BIGINT))")))
 

@@ -12,8 +12,11 @@ from palimpsest.plans.lineage import cut
 
 
 def dealt(df: DataFrame, by: str, *order: str) -> DataFrame:
-    """``df`` with ``_part``: parts follow each other in order of (by, order), and are the same if a task runs again."""
-    return cut(df.repartitionByRange(by, *order).withColumn("_part", F.spark_partition_id()))
+    """``df`` with ``_part``: parts follow each other in order of (by, order), and are the same if a task runs again.
+
+    The input is kept first, since the ranges are found by a look at it.
+    """
+    return cut(cut(df).repartitionByRange(by, *order).withColumn("_part", F.spark_partition_id()))
 
 
 def with_parts_before(df: DataFrame, by: str, total: Column, over) -> DataFrame:
