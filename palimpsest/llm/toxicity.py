@@ -5,7 +5,7 @@
    A token scores the log-odds less Z standard deviations if that is positive; any other token scores ``-drift``.
 2. *Segments.* All maximal scoring segments of the token sequence in linear time: one pass with a stack, in which
    runs of negative tokens are single steps.
-3. *Extreme values.* With the background frequencies p of the scores, counted over the tokens of all documents, lambda
+3. *Extreme values.* With the background frequencies p of the scores, of clean text with all documents as prior, lambda
    solves ``sum p exp(lambda s) = 1``; K is approximated by the chance that a token opens a segment. A segment of score S in n tokens has ``E = K n exp(-lambda S)``. The r best segments together have the sum statistic
    ``lambda * (S1 + .. + Sr) - r ln(K n) + ln r!``; a document takes the largest, and a logistic curve fitted on the
    sample turns it into a probability.
@@ -148,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Tox
         score = odds - Z * F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("c") + prior))
         rows = counts.where(F.col("t") >= LEAST).select("token", score.alias("score")).where("score > 0").orderBy("token").collect()
         lexicon = {r.token % (1 << 64): r.score for r in rows}
-        p, s = background(docs, ToxicModel(lexicon))
+        p, s = background(docs, sample, ToxicModel(lexicon))
         best = None
         for drift in DRIFTS:
             lam, k = karlin_altschul(p, s, drift)
@@ -165,19 +165,31 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Tox
         sample.unpersist()
 
 
-def background(docs: DataFrame, model: ToxicModel) -> tuple[np.ndarray, np.ndarray]:
-    """Frequency of each lexicon token among the tokens of all documents, and its score. Collected: one count for each of them."""
+def occurrences(texts: DataFrame, model: ToxicModel) -> tuple[np.ndarray, int, int]:
+    """How often each lexicon token occurs, and the numbers of tokens and of documents. Collected: one count for each of them."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = Words(texts_of(batch.column(0)))
         hit, _ = model.positives(words)
         token, n = np.unique(words.hashes[hit], return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array([None, *token.view(np.int64).tolist()], pa.int64()), pa.array([len(words.starts), *n.tolist()], pa.int64())], ["token", "n"])
+        kind = np.r_[1, 2, np.zeros(len(token), np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(np.r_[np.zeros(2, np.int64), token.view(np.int64)]), pa.array(np.r_[len(words.starts), batch.num_rows, n].astype(np.int64))], ["kind", "token", "n"])
 
-    counts = {r.token: r.n for r in map_arrow(docs.select("text"), run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect()}
-    total = max(counts.pop(None, 0) or 0, 1)
-    p = np.array([counts.get(int(k), 0) / total for k in model.keys.view(np.int64)])
-    return p, model.values
+    rows = map_arrow(texts.select("text"), run, "kind int, token bigint, n bigint").groupBy("kind", "token").agg(F.sum("n").alias("n")).collect()
+    found = {(r.kind, r.token): r.n for r in rows}
+    return np.array([found.get((0, int(k)), 0) for k in model.keys.view(np.int64)], np.float64), found.get((1, 0), 0), found.get((2, 0), 0)
+
+
+def background(docs: DataFrame, sample: DataFrame, model: ToxicModel) -> tuple[np.ndarray, np.ndarray]:
+    """Frequency of each lexicon token in clean text, and its score.
+
+    The clean documents of the sample are counted, with the frequencies among the tokens of all documents as a Dirichlet
+    prior of PRIOR documents' weight.
+    """
+    every, tokens, n = occurrences(docs, model)
+    clean, clean_tokens, _ = occurrences(sample.where("NOT toxic"), model)
+    weight = PRIOR * tokens / max(n, 1)
+    return (clean + weight * every / max(tokens, 1)) / max(clean_tokens + weight, 1), model.values
 
 
 def statistics(sample: DataFrame, model: ToxicModel) -> tuple[np.ndarray, np.ndarray]:
