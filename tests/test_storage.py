@@ -1,5 +1,6 @@
 import io
 import os
+import random
 import struct
 import zipfile
 
@@ -94,6 +95,20 @@ def test_ingest_and_read_back(spark, tmp_path, codec):
     assert IMAGE in v.view()
 
 
+@pytest.mark.parametrize("codec, tail", [("zlib", 501), ("snappy", 507), ("lz4", 509), ("deflate", 501)])
+def test_last_chunk_that_compresses_to_just_a_chunk(spark, tmp_path, codec, tail):
+    data = {f"f{n}": TEXT * 20 + random.Random(n).randbytes(-len(TEXT * 20) % 512 + tail + n) for n in (-1, 0, 1)}
+    assert len(chunks.compress_bytes(data["f0"][-tail:], codec)) == 512
+    source = spark.createDataFrame([(k, bytearray(d)) for k, d in data.items()], "name string, data binary")
+    commands.ingest(source, str(tmp_path / "out"), BASE, codec, chunk_size=512, per_bevy=4, threshold=1000)
+    v = commands.load_volumes(spark, str(tmp_path / "out"))
+    rows = sorted(v.chunks().collect(), key=lambda r: r.chunk_id)
+    assert all(r.error is None and r.length == len(r.payload) for r in rows)
+    assert {k: b"".join(bytes(r.payload) for r in rows if r.urn == f"{BASE}/{k}") for k in data} == data
+    end = len(data["f0"])
+    assert v.read(f"{BASE}/f0", end - 600, 700) == data["f0"][-600:]
+
+
 def stored(spark, members, meta):
     segments = spark.createDataFrame([(n, d, len(d)) for n, d in members.items()], "urn string, payload binary, size bigint")
     rows = [("v", s, p, o, dt, i) for i, (s, p, o, dt) in enumerate(meta)]
