@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.plans.grouping import spread
 from palimpsest.plans.range_join import chunk_filter
 from palimpsest.vocabulary import CHUNK_SIZE, CHUNKS_IN_SEGMENT, CODEC_URNS, CODECS, COMPRESSION, DEFAULT_CHUNK_SIZE, DEFAULT_CHUNKS_PER_BEVY, IMAGE_STREAMS, LEGACY_NS, SIZE, SMALL_FILE, TYPE
 
@@ -212,9 +213,13 @@ def metadata(urn: str, size: int, codec: str, chunk_size: int = DEFAULT_CHUNK_SI
 
 def parameters(triples: DataFrame, codec: str = "zlib") -> DataFrame:
     """(s, chunk_size, per_bevy, size, codec, status) of every stream: standard names before older ones, then defaults."""
-    last = lambda *names: F.coalesce(*[F.max_by(F.when(F.col("p") == p, F.col("o")), F.when(F.col("p") == p, F.col("seq"))) for p in names])
-    rows = triples.groupBy("s").agg(
-        F.bool_or((F.col("p") == TYPE) & F.col("o").isin(IMAGE_STREAMS)).alias("stream"),
+    older = {CHUNK_SIZE: "chunk_size", CHUNKS_IN_SEGMENT: "chunks_in_segment", SIZE: "size", COMPRESSION: "CompressionMethod"}
+    names = [TYPE, *older, *(f"{LEGACY_NS}{x}" for x in older.values())]
+    given = triples.where(F.col("p").isin(names)).select("s", F.array_position(F.array(*[F.lit(x) for x in names]), F.col("p")).alias("p"), "o", "seq")
+    of = lambda p: F.col("p") == names.index(p) + 1
+    last = lambda *names: F.coalesce(*[F.max_by(F.when(of(p), F.col("o")), F.when(of(p), F.col("seq"))) for p in names])
+    rows = spread(given, "s").groupBy("s").agg(
+        F.bool_or(of(TYPE) & F.col("o").isin(IMAGE_STREAMS)).alias("stream"),
         last(CHUNK_SIZE, f"{LEGACY_NS}chunk_size").try_cast("bigint").alias("chunk_size"),
         last(CHUNKS_IN_SEGMENT, f"{LEGACY_NS}chunks_in_segment").try_cast("bigint").alias("per_bevy"),
         last(SIZE, f"{LEGACY_NS}size").try_cast("bigint").alias("size"),

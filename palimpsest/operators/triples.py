@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palimpsest.plans.grouping import spread
 from palimpsest.vocabulary import DIRECTORY, IMAGE, LEGACY_ATTRIBUTES, LEGACY_IMAGE, LEGACY_TYPES, NS, RDF, STORED, TYPE, VOLATILE_NS, XSD, ZIP_SEGMENT, ZIP_VOLUME
 
 SCHEMA = "volume string, s string, p string, o string, dt string, seq bigint"
@@ -25,7 +26,7 @@ def get(triples: DataFrame, s=None, p=None, dt: str | None = None) -> DataFrame:
     """(s, p, o): the last value whose datatype is exactly ``dt`` (any if None), for all subjects and attributes or given ones."""
     t = where(triples, s, p)
     t = t.where(F.col("dt") == dt) if dt else t
-    return t.groupBy("s", "p").agg(F.max_by("o", "seq").alias("o"))
+    return spread(t.select("s", "p", "o", "seq"), "s", "p").groupBy("s", "p").agg(F.max_by("o", "seq").alias("o"))
 
 
 def where(triples: DataFrame, s=None, p=None, o=None) -> DataFrame:
@@ -37,14 +38,14 @@ def where(triples: DataFrame, s=None, p=None, o=None) -> DataFrame:
 
 def types(triples: DataFrame) -> DataFrame:
     """(s, o): the last type of every known subject; a subject without one is a zip segment."""
-    subjects = triples.groupBy("s").agg(F.max_by(F.when(F.col("p") == TYPE, F.col("o")), F.when(F.col("p") == TYPE, F.col("seq"))).alias("o"))
+    subjects = spread(triples.select("s", "p", "o", "seq"), "s").groupBy("s").agg(F.max_by(F.when(F.col("p") == TYPE, F.col("o")), F.when(F.col("p") == TYPE, F.col("seq"))).alias("o"))
     return subjects.withColumn("o", F.coalesce("o", F.lit(ZIP_SEGMENT)))
 
 
 def get_all(triples: DataFrame, s=None, p=None) -> DataFrame:
     """(s, p, values): all values in order of seq."""
     ordered = F.array_sort(F.collect_list(F.struct("seq", "o")))
-    return where(triples, s, p).groupBy("s", "p").agg(F.transform(ordered, lambda x: x["o"]).alias("values"))
+    return where(triples, s, p).select("s", "p", "o", "seq").repartition("s", "p").groupBy("s", "p").agg(F.transform(ordered, lambda x: x["o"]).alias("values"))
 
 
 def has_subject(triples: DataFrame, keys: DataFrame) -> DataFrame:

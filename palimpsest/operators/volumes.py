@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.plans.grouping import spread
 from palimpsest.plans.lineage import cut
 from palimpsest.vocabulary import ABSTRACT_IMAGES, DATA_STREAM, FILE, IMAGE_STREAMS, MAP, STORED, SYMBOLIC, SYMBOLIC_PREFIX, TYPE, ZIP_SEGMENT
 
@@ -19,7 +20,7 @@ def classify(triples: DataFrame) -> DataFrame:
     """(s, kind, next): what each subject's types, in order of seq, open first; ``next`` is the stream of an abstract image."""
     last = lambda p: F.max_by(F.when(F.col("p") == p, F.col("o")), F.when(F.col("p") == p, F.col("seq")))
     kinds = F.collect_list(F.when(F.col("p") == TYPE, F.struct("seq", "o")))
-    rows = triples.groupBy("s").agg(F.transform(F.array_sort(kinds), lambda x: x["o"]).alias("types"), last(DATA_STREAM).alias("stream"), last(STORED).alias("owner"))
+    rows = spread(triples.select("s", "p", "o", "seq"), "s").groupBy("s").agg(F.transform(F.array_sort(kinds), lambda x: x["o"]).alias("types"), last(DATA_STREAM).alias("stream"), last(STORED).alias("owner"))
     types = F.when(F.size("types") == 0, F.array(F.lit(ZIP_SEGMENT))).otherwise(F.col("types"))
     usable = F.transform(
         types,

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.operators import chunks, triples, volumes
 from palimpsest.sources import turtle
@@ -96,3 +97,12 @@ def test_stream_parameters(spark):
     t = store(spark, [*meta, ("old", TYPE, IMAGE_STREAMS[1], "urn"), ("bad", TYPE, IMAGE_STREAMS[0], "urn"), ("bad", f"{NS}compressionMethod", "urn:no", "urn")])
     got = {r.s: (r.chunk_size, r.per_bevy, r["size"], r.codec, r.status) for r in chunks.parameters(t).collect()}
     assert got == {"s": (10, 3, 1500, "snappy", "STATUS_OK"), "old": (32768, 1024, None, "zlib", "STATUS_OK"), "bad": (32768, 1024, None, None, "NOT_IMPLEMENTED")}
+
+
+def test_groupings_of_text_sort_no_more_than_a_partition(spark):
+    t = spark.range(1000).select(F.concat(F.lit("s"), F.col("id") % 100).alias("s"), F.lit(TYPE).alias("p"), F.lit(IMAGE_STREAMS[0]).alias("o"), F.lit("urn").alias("dt"), F.col("id").alias("seq"))
+    for df, n in ((chunks.parameters(t), 100), (triples.get(t), 100), (triples.types(t), 100), (triples.get_all(t), 100), (volumes.classify(t), 100)):
+        lines = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].splitlines()
+        first = max(i for i, x in enumerate(lines) if "Exchange" in x)  # the deepest: what a task does with its input is below
+        assert not any("Sort" in x or "Aggregate" in x for x in lines[first:]) and any("Aggregate" in x for x in lines[:first])
+        assert df.count() == n
